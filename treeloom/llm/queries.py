@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.llm import packing, tokenize
+from treeloom.llm import abuse, packing, tokenize
 from treeloom.runtime import materialize
 from treeloom.sources.catalog import table
 
@@ -46,5 +46,27 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p7_sizes, p8_assign, p8_report)}
+def _p9(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return abuse.scores(docs, abuse.fit(docs, table(spark, d, "doc_label")))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with abusive, hateful or sexual content."""
+    return _p9(spark, d).filter("score > 1").select("doc_id")
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The score of every document; above 1 it is a case."""
+    return _p9(spark, d)
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, cases and their rate per source."""
+    return _p9(spark, d).groupBy("source").agg(
+        F.count(F.lit(1)).alias("documents"), F.sum((F.col("score") > 1).cast("long")).alias("cases"), F.avg((F.col("score") > 1).cast("double")).alias("rate")
+    )
+
+
+QUERIES = {f.__name__: f for f in (p7_ids, p7_sizes, p8_assign, p8_report, p9_found, p9_scores, p9_rates)}
 SQL: dict[str, str] = {}
