@@ -10,7 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -108,12 +108,9 @@ def dense_ids(df: DataFrame, order: Sequence[str], name: str = "id", start: int
     offsets = counts.select("_p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_off"))
     local = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
     return (
-        parts.withColumn("_n", local)
+        parts.withColumn("_place", local)
         .join(F.broadcast(offsets), "_p")
-        .withColumn(name, (F.col("_off") + F.col("_n") + F.lit(start - 1)).cast("long"))
-        .drop("_p", "_n", "_off")
+        .withColumn(name, (F.col("_off") + F.col("_place") + F.lit(start - 1)).cast("long"))
+        .drop("_p", "_place", "_off")
     )
 
-
-def null_safe_eq(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)
