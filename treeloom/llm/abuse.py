@@ -74,8 +74,8 @@ class Reader:
         if _NUMBER.fullmatch(w) and not (w.isalpha()):
             return "<n>"
         if w.isalpha():
-            if self.words is None or w in self.words or len(w) < 4:
-                return w
+            if self.words is None or w in self.words or not 4 <= len(w) <= 64:
+                return w if len(w) <= 64 else _REPEAT.sub(r"\1", w)[:64]
             squeezed = _REPEAT.sub(r"\1", w)
             if squeezed != w:
                 return self.resolve(squeezed)

@@ -2,8 +2,8 @@
 
 Texts up to ``long_chars`` are encoded where they are read: no shuffle. Longer ones are cut into overlapping chunks
 that are pre-tokenised in parallel. A chunk starts at an arbitrary place, so its first boundaries may be wrong; where a
-boundary of it coincides with one of the chunk before, both agree from there on, because a match of the pattern depends
-only on the text from its start. Chunks are stitched at the first such place; where the overlap has none (a run of one
+boundary of it coincides with a proved one of the chunk before, both agree from there on, because a match of the pattern
+depends only on the text from its start. Chunks are stitched at the first such place; where the overlap has none (a run of one
 character, say) the chunks stay together as one piece. Pieces are encoded in parallel and joined per document.
 
 Null and empty texts have an empty list. Decoding concatenates the raw bytes of the tokens.
@@ -62,6 +62,14 @@ def decode(ids: list[int], path: str) -> str:
     return b"".join(enc.decode_single_token_bytes(int(i)) for i in ids).decode("utf-8", "replace")
 
 
+def _space(c: str) -> bool:
+    if "space" not in _LOADED:
+        import regex
+
+        _LOADED["space"] = regex.compile(r"\s")
+    return _LOADED["space"].match(c) is not None
+
+
 def boundaries(text: str, start: int, end: int) -> list[int]:
     """Places in ``text`` where a match begins, from its start on, with ``start <= place <= end``.
 
@@ -92,17 +100,23 @@ def _cut(chunk: int, overlap: int):
 
 
 def _presplit(chunk: int, overlap: int):
-    """Boundaries of each chunk in the two zones it shares with its neighbours, as offsets from the zone's start."""
+    """Boundaries of each chunk in the two zones it shares with its neighbours, as offsets from the zone's start.
+
+    ``sure`` is the first one in the zone with the chunk before that holds whatever comes before the chunk: no match has
+    white space after anything else, so there is a boundary before white space that follows another character.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            left, right = [], []
+            left, right, sure = [], [], []
             for last, part in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                cuts = boundaries(part, 0, chunk + overlap)
+                # A piece must not end in white space: what a run of it matches depends on what follows.
+                cuts = [x for x in boundaries(part, 0, chunk + overlap) if x == 0 or not _space(part[x - 1])]
                 left.append([x for x in cuts if x <= overlap])
+                sure.append(next((x for x in left[-1] if 0 < x and _space(part[x])), None))
                 right.append([] if last else [x - chunk for x in cuts if x >= chunk])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), pa.array(left, pa.list_(pa.int32())), pa.array(right, pa.list_(pa.int32()))], names=["doc", "i", "last", "head", "tail"]
+                [b.column(0), b.column(1), b.column(2), pa.array(left, pa.list_(pa.int32())), pa.array(right, pa.list_(pa.int32())), pa.array(sure, pa.int32())], names=["doc", "i", "last", "head", "tail", "sure"]
             )
 
     return run
@@ -132,11 +146,18 @@ def _ids(path: str, count_only: bool):
 def _pieces(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
     """(doc, piece, text): the long texts, cut only at boundaries of pre-tokens."""
     chunks = long.mapInArrow(_cut(chunk, overlap), "doc long, i int, last boolean, part string").repartition("doc", "i")
-    zones = chunks.mapInArrow(_presplit(chunk, overlap), "doc long, i int, last boolean, head array<int>, tail array<int>")
+    zones = chunks.mapInArrow(_presplit(chunk, overlap), "doc long, i int, last boolean, head array<int>, tail array<int>, sure int")
     before = zones.filter("not last").select("doc", (F.col("i") + 1).alias("i"), "tail")
     common = F.array_min(F.array_intersect("head", "tail"))
-    sync = zones.select("doc", "i", "head").join(before, ["doc", "i"], "left").select("doc", "i", F.when(F.col("i") == 0, F.lit(0)).otherwise(common).alias("sync"))
+    met = zones.select("doc", "i", "head", "sure").join(before, ["doc", "i"], "left").select("doc", "i", F.when(F.col("i") == 0, F.lit(0)).otherwise(common).alias("met"), "sure")
     w = Window.partitionBy("doc").orderBy("i")  # one small row per chunk, no text
+    # A chunk that does not meet the one before has unproved boundaries, and so have those after it that only meet each
+    # other, up to a boundary that is sure by itself.
+    lost = F.coalesce(F.max(F.when(F.col("met").isNull(), F.col("i"))).over(w), F.lit(-1))
+    found = F.coalesce(F.max(F.when(F.col("sure").isNotNull(), F.col("i"))).over(w), F.lit(-1))
+    proved = met.select("doc", "i", "met", "sure", (lost < 0) | (found >= lost)).toDF("doc", "i", "met", "sure", "proved")
+    follows = F.lag("proved", 1, True).over(w) & F.col("met").isNotNull()
+    sync = proved.select("doc", "i", F.when(F.col("proved"), F.when(follows, F.col("met")).otherwise(F.col("sure"))).alias("sync"))
     sync = sync.select(
         "doc", "i", F.coalesce("sync", F.lit(0)).alias("from"), F.coalesce(F.lead("sync").over(w), F.lit(0)).alias("more"),
         F.last(F.when(F.col("sync").isNotNull(), F.col("i")), True).over(w).alias("piece"),
