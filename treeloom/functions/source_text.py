@@ -54,7 +54,7 @@ def directive_rows(df: DataFrame, key: str, text: str) -> DataFrame:
 def macro_arguments(code: Column) -> Column:
     """Parameter names of a define with ``(`` right after its name; empty if it has none."""
     inside = F.regexp_extract(code, "^[ \\t]*#[ \\t]*define[ \\t]+[A-Za-z_][A-Za-z_0-9]*\\(([^)]*)\\)", 1)
-    return F.filter(F.transform(F.split(inside, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(inside, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def conditional_scopes(directives: DataFrame, key: str) -> DataFrame:
@@ -86,7 +86,7 @@ def asm_rows(df: DataFrame, key: str, text: str) -> DataFrame:
 
     Lines from ``.macro`` to ``.endm`` are one macro, given on its first line.
     """
-    rows = source_lines(df, key, text).withColumn("s", F.trim(F.regexp_replace("code", "[ \\t]+", " "))).filter("s <> '' and not s rlike '^#[ ]?[a-z]+'")
+    rows = source_lines(df, key, text).withColumn("s", F.trim(F.regexp_replace("code", "[ \\t]+", " "))).filter(F.col("s") != "").filter(~directive(F.col("code")).isin(*DIRECTIVES))
     w = Window.partitionBy(key).orderBy("line")
     opens, closes = F.col("s").rlike("^\\.macro( |$)"), F.col("s").rlike("^\\.endm( |$)")
     before = F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1))
