@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from treeloom.runtime import materialize
+
+#: Rows of a snapshot in one leaf range, on average.
+LEAF_ROWS = 8
+
 
 def _digest(h1, h2, n):
     """Order-free digest of a node: two independent 64-bit sums (as exact decimals), a xor and a count."""
@@ -18,7 +25,7 @@ def snapshot_pairs(snapshots: DataFrame, vid: str) -> DataFrame:
     return vids.withColumn("old", F.lag("new").over(Window.orderBy("new"))).filter("old is not null")
 
 
-def merkle_changes(snapshots: DataFrame, vid: str, key: str, value: str, leaf_bits: int = 16, fan_bits: int = 4) -> DataFrame:
+def merkle_changes(snapshots: DataFrame, vid: str, key: str, value: str, leaf_bits: int | None = None, fan_bits: int = 4) -> DataFrame:
     """Changes between consecutive snapshots: (vid, key, change) with change A, D or M.
 
     1. Rows are reduced to one per (vid, key) with the greatest value; null keys and null vids are no rows (but a
@@ -29,19 +36,25 @@ def merkle_changes(snapshots: DataFrame, vid: str, key: str, value: str, leaf_bi
     4. Rows are matched only inside leaf ranges that differ. A null value equals a null value.
 
     The digest is 128 bits plus a count, not keyed; two different ranges with equal digests are not expected (2**-128).
-    Everything is built-in Spark SQL in one plan: the reduced rows are exchanged once and reused.
+    ``leaf_bits`` defaults to ranges of about LEAF_ROWS rows, so digests are a small part of the rows whatever their
+    number. All steps are built-in Spark SQL; reduced rows and leaf digests are stored once and read by the later steps.
     """
-    pairs = snapshot_pairs(snapshots, vid)
-    leaf = F.shiftrightunsigned(F.xxhash64(F.col(key)), 64 - leaf_bits).cast("int")
-    rows = (
+    pairs = materialize(snapshot_pairs(snapshots, vid), "pairs")
+    reduced = (
         snapshots.filter(F.col(key).isNotNull() & F.col(vid).isNotNull())
-        .select(F.col(vid).alias("v"), F.col(key).alias("k"), F.col(value).alias("x"), leaf.alias("leaf"))
-        .groupBy("v", "leaf", "k")
+        .select(F.col(vid).alias("v"), F.col(key).alias("k"), F.col(value).alias("x"))
+        .groupBy("v", "k")
         .agg(F.max("x").alias("x"))
     )
+    rows = materialize(reduced.withColumn("h", F.xxhash64("k")), "rows")
+    if leaf_bits is None:
+        largest = rows.groupBy("v").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+        leaf_bits = min(30, max(0, math.ceil(math.log2(max(1, largest / LEAF_ROWS)))))
+    leaf = F.shiftrightunsigned("h", 64 - leaf_bits).cast("int") if leaf_bits else F.lit(0)
+    rows = rows.select("v", "k", "x", leaf.alias("leaf"))
     h1 = F.xxhash64("k", "x", F.col("x").isNull()).cast("decimal(20,0)")
     h2 = F.xxhash64(F.lit("second"), "x", "k", F.col("x").isNull())
-    level = rows.groupBy("v", F.col("leaf").alias("node")).agg(*_digest(h1, h2, F.lit(1)))
+    level = materialize(rows.groupBy("v", F.col("leaf").alias("node")).agg(*_digest(h1, h2, F.lit(1))), "digests")
     levels = [(leaf_bits, level)]
     bits = leaf_bits
     while bits > 0:
@@ -59,7 +72,8 @@ def merkle_changes(snapshots: DataFrame, vid: str, key: str, value: str, leaf_bi
             parent = differing.withColumnRenamed("node", "parent")
             both = both.withColumn("parent", F.shiftright("node", bits - above)).join(parent, ["new", "parent"], "left_semi")
         differs = (F.count(F.lit(1)) != 2) | (F.min("d1") != F.max("d1")) | (F.min("d2") != F.max("d2")) | (F.min("n") != F.max("n"))
-        differing = both.groupBy("new", "node").agg(differs.alias("differs")).filter("differs").select("new", "node")
+        found = both.groupBy("new", "node").agg(differs.alias("differs")).filter("differs").select("new", "node")
+        differing = materialize(found, "differing")
         above = bits
     sides = rows.join(roles, "v").join(differing.withColumnRenamed("node", "leaf"), ["new", "leaf"], "left_semi")
     here = F.struct("x")
