@@ -30,12 +30,11 @@ def key_totals(counts: DataFrame) -> DataFrame:
     return counts.groupBy("k").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("v").isNotNull(), F.col("c"))).alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi"))
 
 
-def heavy_keys(counts: DataFrame, share: float) -> DataFrame:
+def heavy_keys(totals: DataFrame, share: float) -> DataFrame:
     """(k, n) of the non-null keys holding at least ``share`` of all rows: at most ``1 / share`` rows.
 
-    All rows count for the total, those of a null key included.
+    ``totals`` from :func:`key_totals`, best materialised. All rows count for the whole, those of a null key included.
     """
-    totals = counts.groupBy("k").agg(F.sum("c").alias("n"))
     whole = totals.agg(F.sum("n").alias("whole"))
     return totals.crossJoin(F.broadcast(whole)).filter(F.col("k").isNotNull() & (F.col("n") >= share * F.col("whole"))).select("k", "n")  # one row
 

@@ -93,6 +93,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy_paths.hierarchy(table(spark, d, "m_ast_container"), "ast_id", "ref_ast_id", "priority")
 
 
+def p4_below(spark: SparkSession, d: str) -> DataFrame:
+    """All nodes below each node, as ranges of positions in the order of the trees."""
+    return hierarchy_paths.below(table(spark, d, "m_ast_container"), "ast_id", "ref_ast_id", "priority")
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------
 
 def _p5(spark: SparkSession, d: str) -> DataFrame:
@@ -124,7 +129,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     tags = selection.value_counts(table(spark, d, "m_bridge_tag"), "fid", "line_s")
     types = selection.value_counts(table(spark, d, "m_ast").select("type_id", F.length("name").alias("len")), "type_id", "len")
     found = [
-        selection.heavy_keys(c, 0.03).select(F.lit(t).alias("tbl"), F.col("k").cast("long").alias("key_id"))
+        selection.heavy_keys(materialize(selection.key_totals(c), "totals"), 0.03).select(F.lit(t).alias("tbl"), F.col("k").cast("long").alias("key_id"))
         for t, c in (("m_bridge_tag", tags), ("m_ast", types))
     ]
     return found[0].unionAll(found[1])
@@ -161,7 +166,7 @@ def p6_types(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_history, p2_found, p2_counts, p3_found, p3_counts, p4_found, p5_found, p5_periods, p6_found, p6_files, p6_types)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_history, p2_found, p2_counts, p3_found, p3_counts, p4_found, p4_below, p5_found, p5_periods, p6_found, p6_files, p6_types)}
 
 # SQL of the same results, for DuckDB over the same tables -----------------------------------------------------------
 
@@ -275,6 +280,11 @@ SQL: dict[str, str] = {
     "p3_found": _P3_SQL + " select vid, fnid, change from changes where change is not null",
     "p3_counts": _P3_SQL + " select vid, change, count(*) n from changes where change is not null group by 1, 2",
     "p4_found": _P4_SQL,
+    "p4_below": _P4_SQL.rsplit("select * from walk", 1)[0].replace("walk(node_id, root_id, depth, path)", "walk(node_id, root_id, depth, path, trail)")
+    .replace("select v, v, 0, ''", "select v, v, 0, '', cast([] as struct(r int, n bigint)[])").replace("coalesce(cast(e.pr as varchar), '')", "coalesce(cast(e.pr as varchar), ''), list_append(w.trail, struct_pack(r := cast(e.pr as int), n := o.v))")
+    + """, t as (select node_id, root_id, trail, row_number() over (order by root_id, trail) pos from walk),
+k as (select a, count(*) size from (select unnest(list_concat([root_id], list_transform(trail[:-2], lambda x: x.n))) a from t where len(trail) > 0) group by a)
+select node_id, root_id, pos, pos + coalesce(size, 0) as last from t left join k on node_id = a""",
     "p5_found": _P5_SQL + " select src, what, key_id, lo, hi from allp where n > 1",
     "p5_periods": _P5_SQL + " select src, what, key_id, lo, hi from allp",
     "p6_found": """
