@@ -82,6 +82,24 @@ def test_random_graphs(spark, every):
     assert got(df, every) == brute(data)
 
 
+def test_nodes_below(spark):
+    rng = random.Random(8)
+    data = [(rng.choice(range(1, v)), rng.randint(0, 2), v) for v in range(2, 120)] + [(500, 1, 501), (600, 0, 601), (601, 0, 600), (601, 0, 602)]
+    df = spark.createDataFrame(data + data[:9], SCHEMA)
+    numbered = hp.below(df, "ast_id", "ref_ast_id", "priority", every=3)
+    up = {c: a for a, _, c in data if c < 600}
+    want = set()
+    for v in up:
+        a = v
+        while a in up:
+            a = up[a]
+            want.add((a, v))
+    assert {tuple(r) for r in hp.nodes_below(numbered, numbered, "node_id").collect()} == want
+    at = {r["node_id"]: r for r in numbered.collect()}
+    assert sorted(r["pos"] for r in at.values()) == list(range(1, len(at) + 1)) and 600 not in at
+    assert hp.below(df.limit(0), "ast_id", "ref_ast_id", "priority").count() == 0
+
+
 def test_small_cases(spark):
     assert got(spark.createDataFrame([], SCHEMA)) == {}
     data = [(10, 0, 11), (10, 1, 12), (11, 0, 13), (20, 0, 21), (21, 0, 20), (30, 0, 0)]

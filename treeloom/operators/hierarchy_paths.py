@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.runtime import forget, hot_keys, materialize, split_join
+from treeloom.runtime import dense_ids, forget, hot_keys, materialize, split_join
 
 
 def _join_path(a: Column, b: Column) -> Column:
@@ -70,24 +70,51 @@ def _walk(pointers: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
     return out.select("v", "p", "d", "path"), active.select("v")
 
 
-def links(df: DataFrame, parent: str, child: str, rank: str) -> DataFrame:
+def links(df: DataFrame, parent: str, child: str, rank: str, trail: bool = False) -> DataFrame:
     """Distinct links (v, p, path): child, parent and the lowest rank by which the parent names the child.
 
+    With ``trail`` the path component is ``rank:child``.
+
     Rows whose child is null or 0 are no links. A null parent makes the child a node without a link. A null rank is
     the lowest possible only if no other rank is given, and then gives an empty path component.
     """
     rows = df.filter(F.col(child).isNotNull() & (F.col(child) != 0) & F.col(parent).isNotNull())
-    return rows.groupBy(F.col(child).alias("v"), F.col(parent).alias("p")).agg(F.min(rank).alias("rank")).select("v", "p", F.coalesce(F.col("rank").cast("string"), F.lit("")).alias("path"))
+    return rows.groupBy(F.col(child).alias("v"), F.col(parent).alias("p")).agg(F.min(rank).alias("rank")).select(
+        "v", "p", F.concat(F.coalesce(F.col("rank").cast("string"), F.lit("")), *([F.lit(":"), F.col("v").cast("string")] if trail else [])).alias("path")
+    )
+
+
+def below(df: DataFrame, parent: str, child: str, rank: str, every: int = 16) -> DataFrame:
+    """(node_id, root_id, pos, last) of every node that is not on or below a cycle: all nodes below each node, in linear size.
+
+    Nodes are numbered in the order of their trees (root, then rank and id at each level). The nodes below a node are
+    those whose ``pos`` is greater than its own and at most its ``last``; :func:`nodes_below` lists them.
+    """
+    h = materialize(hierarchy(df, parent, child, rank, every, trail=True).filter("depth >= 0"), "trails")
+    steps = F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(F.split("path", "\\."))
+    parts = h.select("node_id", "root_id", steps.alias("s"))
+    order = F.transform("s", lambda x: F.struct(F.substring_index(x, ":", 1).cast("int").alias("r"), F.substring_index(x, ":", -1).cast("long").alias("n")))
+    placed = dense_ids(parts.select("node_id", "root_id", order.alias("o")), ["root_id", "o"], "pos")
+    above = F.concat(F.array("root_id"), F.transform(F.slice("s", F.lit(1), F.greatest(F.size("s") - 1, F.lit(0))), lambda x: F.substring_index(x, ":", -1).cast("long")))
+    sizes = parts.filter(F.size("s") > 0).select(F.explode(above).alias("a")).groupBy("a").agg(F.count(F.lit(1)).alias("size"))
+    return placed.join(sizes, F.col("node_id") == F.col("a"), "left").select("node_id", "root_id", "pos", (F.col("pos") + F.coalesce("size", F.lit(0))).alias("last"))
+
+
+def nodes_below(numbered: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+    """(node_id, below_id) for the chosen nodes: a range join inside each tree on the numbers of :func:`below`."""
+    chosen = numbered.join(nodes.select(F.col(key).alias("node_id")).distinct(), "node_id", "left_semi").select("node_id", F.col("root_id").alias("r"), F.col("pos").alias("lo"), F.col("last").alias("hi"))
+    under = numbered.select(F.col("node_id").alias("below_id"), "root_id", F.col("pos").alias("at"))
+    return chosen.join(under, (F.col("r") == F.col("root_id")) & (F.col("at") > F.col("lo")) & (F.col("at") <= F.col("hi"))).select("node_id", "below_id")
 
 
-def hierarchy(df: DataFrame, parent: str, child: str, rank: str, every: int = 16) -> DataFrame:
+def hierarchy(df: DataFrame, parent: str, child: str, rank: str, every: int = 16, trail: bool = False) -> DataFrame:
     """(node_id, root_id, depth, path) of every node of the links in ``df``; see :func:`links` for dirty rows.
 
     A node on a cycle, or with an ancestor on one, has root_id -1, depth -1 and an empty path. A node with several
     parents, none of which leads to a cycle, hangs below the one with the smallest id. Repeated rows change nothing;
     an empty table gives no rows.
     """
-    edges = materialize(links(df, parent, child, rank), "links")
+    edges = materialize(links(df, parent, child, rank, trail), "links")
     kids = df.filter(F.col(child).isNotNull() & (F.col(child) != 0))
     nodes = kids.select(F.col(child).alias("v")).unionAll(kids.filter(F.col(parent).isNotNull()).select(F.col(parent).alias("v"))).distinct()
 

@@ -56,6 +56,17 @@ def list_types(spark, d):
     return type_descriptor(spark).orderBy("type_id")
 
 
+_ENDPOINTS = (
+    ("/api/versions", "list_versions"), ("/api/type_descriptors", "list_types"), ("/api/version/{v}/browse/{path}", "browse_children"), ("/api/file/{fid}", "file_detail"),
+    ("/api/tag/{id}", "tag_detail"), ("/api/ast/{id}/tree", "bounded_tree"), ("/api/dev/tables", "count_tables"), ("/api/dev/endpoints", "list_endpoints"),
+)
+
+
+@query("select * from (values " + ", ".join(f"('{r}', '{q}')" for r, q in _ENDPOINTS) + ") t(route, query)")
+def list_endpoints(spark, d):
+    return spark.createDataFrame(_ENDPOINTS, "route string, query string")
+
+
 # Selection --------------------------------------------------------------------------------------------------------
 
 @query("select * from m_ast where type_id = 41")
