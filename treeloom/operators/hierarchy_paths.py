@@ -34,30 +34,28 @@ def _walk(pointers: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
 
     settled: (v, p, d, path) with p the first node that is no v; endless: (v) whose walk never gets there.
 
-    Pointer doubling: after round r, an unsettled node has made 2**r steps. With U nodes unsettled then, no finite walk
-    is longer than U + 2**r (all but the last 2**r nodes of the longest finite walk are unsettled), so once the steps
-    made exceed the least such bound, what is still unsettled is endless.
+    Pointer doubling: after round r, an unsettled node has made 2**r steps, and every node nearer than that is settled.
+    With U nodes unsettled then, no finite walk is longer than U + 2**r (all but the last 2**r nodes of the longest finite
+    walk are unsettled), so once the steps made exceed the least such bound, what is still unsettled is endless.
     """
     active = materialize(pointers, tag)
     n = active.count()
     settled: list[DataFrame] = []
     steps, bound = 1, n + 1
-    while n and steps <= 2 * bound:
-        lookup = active
+    while n and steps <= bound:
+        lookup = active.withColumn("end2", F.lit(False))
         for s in settled:
-            lookup = lookup.unionAll(s)
-        lookup = lookup.select(F.col("v").alias("v2"), F.col("p").alias("p2"), F.col("d").alias("d2"), F.col("path").alias("path2"))
+            lookup = lookup.unionAll(s.withColumn("end2", F.lit(True)))
+        lookup = lookup.select(F.col("v").alias("v2"), F.col("p").alias("p2"), F.col("d").alias("d2"), F.col("path").alias("path2"), "end2")
         met = split_join(active, lookup, "p", "v2", "left", hot_keys(active, "p", total=n))
-        moved = materialize(
-            met.select(
-                "v",
-                F.coalesce("p2", "p").alias("p"),
-                F.when(F.col("v2").isNull(), F.col("d")).otherwise(F.col("d") + F.col("d2")).alias("d"),
-                F.when(F.col("v2").isNull(), F.col("path")).otherwise(_join_path(F.col("path2"), F.col("path"))).alias("path"),
-                F.col("v2").isNull().alias("done"),
-            ),
-            tag,
+        step = met.select(
+            "v",
+            F.coalesce("p2", "p").alias("p"),
+            F.when(F.col("v2").isNull(), F.col("d")).otherwise(F.col("d") + F.col("d2")).alias("d"),
+            F.when(F.col("v2").isNull(), F.col("path")).otherwise(_join_path(F.col("path2"), F.col("path"))).alias("path"),
+            F.coalesce("end2", F.lit(True)).alias("done"),
         )
+        moved = materialize(step, tag)
         settled.append(moved.filter("done").drop("done"))
         last, active = active, moved.filter("not done").drop("done")
         forget(last)
