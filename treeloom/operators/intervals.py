@@ -3,9 +3,9 @@
 The state of a key is its list of disjoint merged intervals in order, each with a mark telling whether it was made of
 at least two different intervals. Two states merge linearly. Partial states are built for all keys of a scan
 partition at once (vectorised), so a key that holds a third of all rows leaves each task as its few merged intervals.
-States then meet in a reduction tree: hot keys, if any are left, first in salted groups, then all by key. The last step
-reads a key's partial lists as one sorted stream and holds nothing but the interval it is extending, then emits the
-merged periods and the complement between them.
+States then meet by key: the last step reads a key's partial lists as one sorted stream and holds nothing but the
+interval it is extending, then emits the merged periods and the complement between them. Keys that are still hot then
+go through one more level of the tree, in blocks of their range.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from treeloom.runtime import hot_keys, materialize
 
@@ -133,27 +134,62 @@ def interval_rows(df: DataFrame, src: int, key: str, lo: str, hi: str, open_end:
     )
 
 
-def merged_and_gaps(rows: DataFrame, salts: int = 64, hot_rows: int = 2_000_000) -> DataFrame:
+_OUT = "src int, key long, gap boolean, lo long, hi long, multi boolean"
+
+
+def merged_and_gaps(rows: DataFrame, hot_rows: int = 2_000_000) -> DataFrame:
     """(src, key, gap, lo, hi, multi) of all keys of ``rows`` (from :func:`interval_rows`, of one or more sources).
 
     Periods (gap false) are the merged intervals; ``multi`` tells that a period was made of at least two different
     intervals (equal rows are one). Gaps lie between successive periods of a key. ``hi`` is OPEN for an open period.
-    Keys whose partial lists still hold ``hot_rows`` rows after the map side pass through salted groups first.
+    Keys whose partial lists still hold ``hot_rows`` rows after the map side are split into blocks of their range.
     """
     partial = materialize(rows.mapInArrow(_partial, STATE), "intervals")
     hot = hot_keys(partial, "key", share=0.01, least=hot_rows)
-    by_key = partial
-    if hot:
-        is_hot = F.col("key").isin(*hot)
-        salted = (
-            partial.filter(is_hot).withColumn("salt", F.pmod(F.xxhash64("lo", "hi"), F.lit(salts)))
-            .repartition("src", "key", "salt").sortWithinPartitions("src", "key", "salt", "lo").drop("salt")
-        )
-        by_key = partial.filter(~is_hot).unionByName(salted.mapInArrow(_partial, STATE))
-    return (
-        by_key.repartition("src", "key").sortWithinPartitions("src", "key", "lo", "hi")
-        .mapInArrow(_emit, "src int, key long, gap boolean, lo long, hi long, multi boolean")
+    is_hot = F.col("key").isin(*hot)
+    by_key = partial.filter(~is_hot) if hot else partial
+    out = by_key.repartition("src", "key").sortWithinPartitions("src", "key", "lo", "hi").mapInArrow(_emit, _OUT)
+    return out.unionByName(_in_blocks(partial.filter(is_hot), hot_rows)) if hot else out
+
+
+def _in_blocks(rows: DataFrame, hot_rows: int) -> DataFrame:
+    """Periods and gaps of hot keys (at most a hundred), none of whose lists has to pass through one task.
+
+    A key's range is cut into blocks by quantiles of ``lo``. Blocks merge on their own; all that crosses a block's edge
+    is the greatest end before it (the carry). Inside a block, which is sorted and disjoint by then, the intervals
+    reached by the carry are a prefix and belong to a period that starts in an earlier block; the others start periods.
+    """
+    counts = rows.groupBy("src", "key").count()
+    blocks = min(1000, 1 + counts.agg(F.max("count")).first()[0] // max(1, hot_rows // 4))
+    cuts = rows.groupBy("src", "key").agg(F.percentile_approx("lo", [(i + 1) / (blocks + 1) for i in range(blocks)], 10_000).alias("cuts"))
+    block = F.size(F.filter("cuts", lambda c: c <= F.col("lo")))
+    parts = rows.join(F.broadcast(cuts), ["src", "key"]).select("src", "key", "lo", "hi", "multi", block.alias("block"))
+    # Blocks of one key are told apart by their number in the source column, which then comes back.
+    tagged = parts.select((F.col("src") * 4096 + F.col("block")).cast("int").alias("src"), "key", "lo", "hi", "multi")
+    merged = tagged.repartition("src", "key").sortWithinPartitions("src", "key", "lo", "hi").mapInArrow(_reduce, STATE)
+    merged = materialize(merged.select(F.shiftright("src", 12).alias("src"), F.col("src").bitwiseAND(4095).alias("block"), "key", "lo", "hi", "multi"), "blocks")
+
+    key = Window.partitionBy("src", "key").orderBy("block")  # one row per block
+    ends = merged.groupBy("src", "key", "block").agg(F.max("hi").alias("top"))
+    carry = ends.select("src", "key", "block", F.max("top").over(key.rowsBetween(Window.unboundedPreceding, -1)).alias("carry"))
+    rows = merged.join(F.broadcast(carry), ["src", "key", "block"]).withColumn("reached", F.coalesce(F.col("lo") <= F.col("carry") + 1, F.lit(False)))
+    per = rows.groupBy("src", "key", "block").agg(
+        F.max(F.when(F.col("reached"), F.col("hi"))).alias("far"), F.max(F.when(~F.col("reached"), F.col("lo"))).alias("last"), F.count(F.when(F.col("reached"), 1)).alias("k"), F.max("carry").alias("carry")
+    )
+    per = materialize(per.withColumn("group", F.coalesce(F.sum(F.when(F.col("last").isNotNull(), 1).otherwise(0)).over(key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))), "edges")
+    ext = per.filter("k > 0").groupBy("src", "key", "group").agg(F.max("far").alias("ext"))
+    heads = per.filter("last is not null").select("src", "key", "block", "last", F.greatest("carry", "far").alias("before"), (F.col("group") + 1).alias("group"))
+    heads = heads.join(ext, ["src", "key", "group"], "left").drop("group")
+    inside = Window.partitionBy("src", "key", "block").orderBy("lo")
+    starts = rows.filter("not reached").join(F.broadcast(heads), ["src", "key", "block"])
+    is_last = F.col("lo") == F.col("last")
+    starts = starts.withColumn("prev", F.coalesce(F.lag("hi").over(inside), "before"))
+    periods = starts.select(
+        "src", "key", F.lit(False).alias("gap"), "lo", F.when(is_last, F.greatest("hi", "ext")).otherwise(F.col("hi")).alias("hi"),
+        (F.col("multi") | (is_last & F.col("ext").isNotNull())).alias("multi"),
     )
+    gaps = starts.filter("prev is not null").select("src", "key", F.lit(True).alias("gap"), (F.col("prev") + 1).alias("lo"), (F.col("lo") - 1).alias("hi"), F.lit(False).alias("multi"))
+    return periods.unionByName(gaps)
 
 
 def covered(rows: DataFrame) -> DataFrame:
