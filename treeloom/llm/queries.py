@@ -25,9 +25,14 @@ def p7_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_assign(spark: SparkSession, d: str) -> DataFrame:
-    """The containers of every document for every capacity: (pack_id, doc_id, piece, start, len, container)."""
+    """The containers of every document for every capacity: (pack_id, doc_id, piece, start, len, container).
+
+    Null pack ids and capacities that are null or not positive are no containers; without any there are no rows.
+    """
     sizes = materialize(p7_sizes(spark, d).select(F.col("doc_id").alias("doc"), F.col("n_tokens").alias("n")), "sizes")
-    packs = table(spark, d, "pack_capacity").filter("pack_id is not null and capacity > 0").distinct().collect()  # a fixed table
+    packs = table(spark, d, "pack_capacity").select("pack_id", "capacity").filter("pack_id is not null and capacity > 0").distinct().collect()  # a fixed table
+    if not packs:
+        return spark.createDataFrame([], "pack_id int, doc_id long, piece int, start long, len long, container string")
     parts = [
         packing.pack(sizes, r["capacity"]).select(F.lit(r["pack_id"]).cast("int").alias("pack_id"), F.col("doc").alias("doc_id"), "piece", "start", "len", "container")
         for r in sorted(packs)
@@ -39,7 +44,7 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     """Per capacity: containers used, the fewest possible by volume, and the tokens left unused."""
     boxes = p8_assign(spark, d).groupBy("pack_id", "container").agg(F.sum("len").alias("used"))
     sums = boxes.groupBy("pack_id").agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"))
-    packs = table(spark, d, "pack_capacity").distinct()
+    packs = table(spark, d, "pack_capacity").select("pack_id", "capacity").distinct()
     return sums.join(packs, "pack_id").select(
         "pack_id", "capacity", "containers", F.ceil(F.col("tokens") / F.col("capacity")).alias("least"), "tokens",
         (F.col("containers") * F.col("capacity") - F.col("tokens")).alias("unused"), "fullest",

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from treeloom.runtime import materialize
+
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that splits text before the merges of the rank files.
@@ -147,6 +149,7 @@ def _pieces(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
     """(doc, piece, text): the long texts, cut only at boundaries of pre-tokens."""
     chunks = long.mapInArrow(_cut(chunk, overlap), "doc long, i int, last boolean, part string").repartition("doc", "i")
     zones = chunks.mapInArrow(_presplit(chunk, overlap), "doc long, i int, last boolean, head array<int>, tail array<int>, sure int")
+    zones = materialize(zones, "zones")  # read twice
     before = zones.filter("not last").select("doc", (F.col("i") + 1).alias("i"), "tail")
     common = F.array_min(F.array_intersect("head", "tail"))
     met = zones.select("doc", "i", "head", "sure").join(before, ["doc", "i"], "left").select("doc", "i", F.when(F.col("i") == 0, F.lit(0)).otherwise(common).alias("met"), "sure")
