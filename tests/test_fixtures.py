@@ -129,6 +129,11 @@ def test_staging(spark):
     parents, kids = staging.decompose(flat, ["name"], {"name": F.col("name")}, {"ref": F.col("ref")}, ["pos", "ref"], 7)
     assert rows(parents) == [(7, "s"), (8, "t")] and rows(kids) == [(7, 0, 5), (7, 1, 6), (8, 0, 5)]
     assert rows(staging.rank_children(flat.distinct(), "name", ["pos"], 1).select("name", "ref", "priority")) == [("s", 5, 1), ("s", 6, 2), ("t", 5, 1)]
+    before = staging.HOT_ROWS
+    staging.HOT_ROWS = 2
+    many = spark.createDataFrame([(p, c) for p in (1, 2, None) for c in (5, 3, 9, 7)], "p long, c long").withColumn("_first", F.lit(1)).drop("_first")
+    assert rows(staging.rank_children(many, "p", ["c"], 1).filter("p is not null")) == sorted([(p, c, r) for p in (1, 2) for r, c in ((1, 3), (2, 5), (3, 7), (4, 9))], key=repr)
+    staging.HOT_ROWS = before
     last = spark.createDataFrame([(1, 1, "a"), (1, 2, None), (2, None, "z")], "k long, o int, v string")
     assert rows(staging.last_wins(last, ["k"], ["o"])) == sorted([(1, 2, None), (2, None, "z")], key=repr)
 

@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from treeloom.runtime import dense_ids
+from treeloom.runtime import dense_ids, hot_keys
+
+#: Children of one parent from which on they are numbered in parallel.
+HOT_ROWS = 1_000_000
 
 
 def next_id(df: DataFrame, column: str) -> DataFrame:
@@ -59,27 +62,40 @@ def patch(base: DataFrame, updates: DataFrame, key: Sequence[str]) -> DataFrame:
 def rank_children(df: DataFrame, parent: str, order: Sequence[str], start: int = 0, name: str = "priority") -> DataFrame:
     """Position of each row among its parent's rows, from ``start``, in a total order."""
     rank = F.row_number().over(Window.partitionBy(parent).orderBy(*order)) - 1 + start
-    return df.withColumn(name, rank.cast("int"))
-
-
-def signature(children: DataFrame, parent: str, order: Sequence[str], parts: Sequence[str]) -> DataFrame:
-    """(parent, sig): the parts of each parent's children in order, ``:`` between parts and ``|`` between children."""
-    text = F.concat_ws(":", *(F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts))
-    seq = F.array_sort(F.collect_list(F.struct(*order, text.alias("_t"))))
-    return children.groupBy(parent).agg(F.array_join(F.transform(seq, lambda x: x["_t"]), "|").alias("sig"))
+    hot = hot_keys(df, parent, share=0.01, least=HOT_ROWS)
+    if not hot:
+        return df.withColumn(name, rank.cast("int"))
+    # Parents with very many children (at most a hundred) are numbered over range partitions instead of in one task.
+    is_hot = F.coalesce(F.col(parent).isin(*hot), F.lit(False))
+    at = dense_ids(df.filter(is_hot), [parent, *order], "_at")
+    first = at.groupBy(F.col(parent).alias("_first_of")).agg(F.min("_at").alias("_first"))
+    at = at.join(F.broadcast(first), F.col(parent) == F.col("_first_of")).withColumn(name, (F.col("_at") - F.col("_first") + start).cast("int"))
+    return df.filter(~is_hot).withColumn(name, rank.cast("int")).unionByName(at.drop("_at", "_first", "_first_of"))
+
+
+def signature(children: DataFrame, parent: str, parts: Sequence[str]) -> DataFrame:
+    """(parent, s1, s2, k): digest of the set of each parent's children, nulls included.
+
+    ``parts`` hold the position of a child, so a set tells as much as a list. The digest (two independent 64-bit hashes,
+    one summed and one xored, and the count) merges on the map side: a parent with very many children is never gathered.
+    """
+    nulls = [F.col(p).isNull() for p in parts]
+    h1 = F.xxhash64(F.lit(1), *parts, *nulls).cast("decimal(20,0)")
+    h2 = F.xxhash64(F.lit("2"), *reversed(parts), *nulls)
+    return children.groupBy(parent).agg(F.sum(h1).alias("s1"), F.bit_xor(h2).alias("s2"), F.count(F.lit(1)).alias("k"))
 
 
 def same_structure(signatures: DataFrame, parent: str) -> DataFrame:
-    """(sig, n, rep): parents with equal structure are one; the smallest stands for all."""
-    return signatures.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min(parent).alias("rep"))
+    """(k, n, rep): parents with equal structure are one; k children, n parents, the smallest parent."""
+    return signatures.groupBy("s1", "s2", "k").agg(F.count(F.lit(1)).alias("n"), F.min(parent).alias("rep")).select("k", "n", "rep")
 
 
 def decompose(flat: DataFrame, group: Sequence[str], parent: dict[str, Column], child: dict[str, Column], order: Sequence[str], start: int = 1) -> tuple[DataFrame, DataFrame]:
     """Take a flat view apart: one new parent id per ``group`` that fills every open id, and ranked child rows with it."""
     ids = assign_ids(flat, group, "new_id", start)
     parents = ids.select(F.col("new_id"), *(c.alias(n) for n, c in parent.items()))
-    kids = rank_children(flat.distinct(), group[0], order) if len(group) == 1 else flat.distinct().withColumn("priority", (F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1).cast("int"))
-    return parents, kids.join(ids, list(group)).select("new_id", "priority", *(c.alias(n) for n, c in child.items()))
+    kids = rank_children(flat.distinct().join(ids, list(group)), "new_id", order)
+    return parents, kids.select("new_id", "priority", *(c.alias(n) for n, c in child.items()))
 
 
 def resolve(staged: DataFrame, key: str, ids: DataFrame, id_key: str, ident: str) -> DataFrame:

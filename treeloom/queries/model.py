@@ -240,13 +240,13 @@ def get_or_create(spark, d):
 
 
 _SIG_SQL = """select ast_id, string_agg(concat(coalesce(cast(priority as varchar), ''), ':', coalesce(cast(type_id as varchar), ''), ':', coalesce(cast(ref_ast_id as varchar), '')), '|'
-  order by priority nulls first, type_id nulls first, ref_ast_id nulls first) sig from (select distinct * from m_ast_container) group by 1"""
+  order by priority nulls first, type_id nulls first, ref_ast_id nulls first) sig, count(*) k from (select distinct * from m_ast_container) group by 1"""
 
 
-@query(f"select sig, count(*) n, min(ast_id) rep from ({_SIG_SQL}) group by 1")
+@query(f"select k, count(*) n, min(ast_id) rep from ({_SIG_SQL}) group by sig, k")
 def structural_signature(spark, d):
     c = table(spark, d, "m_ast_container").distinct()
-    return staging.same_structure(staging.signature(c, "ast_id", ["priority", "type_id", "ref_ast_id"], ["priority", "type_id", "ref_ast_id"]), "ast_id")
+    return staging.same_structure(staging.signature(c, "ast_id", ["priority", "type_id", "ref_ast_id"]), "ast_id")
 
 
 _FLAT_SQL = "(select distinct c.ast_id, c.priority, c.type_id, c.ref_ast_id from m_ast_container c)"

@@ -6,6 +6,8 @@ hot keys (at most ``1 / share`` of them) and one row per Spark partition (offset
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -33,7 +35,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not (sc.master or "").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if sc.applicationId not in _LOCAL_DIRS:
-        _LOCAL_DIRS[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="treeloom-")
+        folder = tempfile.mkdtemp(prefix="treeloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _LOCAL_DIRS[sc.applicationId] = f"file://{folder}"
     return _LOCAL_DIRS[sc.applicationId]
 
 
@@ -47,6 +51,11 @@ def remove_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def drop_all(spark: SparkSession) -> None:
+    """Delete everything this application wrote to the shared folder; results that were not written out are lost."""
+    remove_path(spark, f"{shared_dir(spark)}/treeloom/{spark.sparkContext.applicationId}")
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
