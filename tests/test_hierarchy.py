@@ -100,6 +100,37 @@ def test_nodes_below(spark):
     assert hp.below(df.limit(0), "ast_id", "ref_ast_id", "priority").count() == 0
 
 
+@pytest.mark.parametrize("every", [3, 10_000])
+def test_all_nodes_below_with_cycles_and_several_parents(spark, every):
+    rng = random.Random(every)
+    data = [(rng.choice(range(1, v)), rng.randint(0, 2), v) for v in range(2, 80)]  # a tree
+    data += [(300 + (i - 1) % 12, 0, 300 + i) for i in range(12)] + [(3, 1, 305), (302, 1, 320), (320, 0, 321)]  # a ring below the tree
+    data += [(500, 1, 500), (500, 2, 501), (601, 0, 600), (600, 0, 601), (601, 0, 602), (602, None, 603)]
+    data += [(700, 0, 701), (701, 0, 702), (702, 0, 700), (701, 0, 703), (703, 0, 700), (702, 0, 704), (5, 0, 704)]  # two ways around
+    data += [(800 + rng.randint(0, i - 1), rng.randint(0, 3), 800 + i) for i in range(1, 40) for _ in range(2)]  # several parents
+    data += [(850, 0, 900), (900 + 19, 0, 900)] + [(900 + rng.randint(0, i - 1), 0, 900 + i) for i in range(1, 20) for _ in range(2)]
+    data += [(321, 0, 850), (None, 1, 9999), (9998, 1, 0), (9997, 2, None)]
+    df = spark.createDataFrame(data + data[:9], SCHEMA)
+    down = {}
+    for a, _, c in data:
+        if c and a is not None:
+            down.setdefault(a, set()).add(c)
+    want = set()
+    for v in down:
+        seen, todo = set(), [v]
+        while todo:
+            new = down.get(todo.pop(), set()) - seen
+            seen |= new
+            todo += new
+        want |= {(v, x) for x in seen}
+    numbered = hp.materialize(hp.below_all(df, "ast_id", "ref_ast_id", "priority", every=every), "test")
+    got = [tuple(r) for r in hp.all_nodes_below(numbered, numbered, "node_id").collect()]
+    assert set(got) == want and len(got) == len(want)
+    at = {(r["node_id"], r["pos"]) for r in numbered.collect()}
+    assert {v for v, _ in at} == {x for a, _, c in data if c for x in (a, c) if x is not None} and sorted(p for _, p in at) == list(range(1, len(at) + 1))
+    assert hp.below_all(df.limit(0), "ast_id", "ref_ast_id", "priority").count() == 0
+
+
 def test_small_cases(spark):
     assert got(spark.createDataFrame([], SCHEMA)) == {}
     data = [(10, 0, 11), (10, 1, 12), (11, 0, 13), (20, 0, 21), (21, 0, 20), (30, 0, 0)]

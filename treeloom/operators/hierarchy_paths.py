@@ -18,7 +18,10 @@ lineage stays short and a lost executor costs at most a round.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeloom.runtime import dense_ids, forget, hot_keys, materialize, split_join
@@ -105,6 +108,192 @@ def nodes_below(numbered: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     return chosen.join(under, (F.col("r") == F.col("root_id")) & (F.col("at") > F.col("lo")) & (F.col("at") <= F.col("hi"))).select("node_id", "below_id")
 
 
+def below_all(df: DataFrame, parent: str, child: str, rank: str, every: int = 16) -> DataFrame:
+    """(node_id, root_id, pos, first, last): all nodes below each node, those on and below cycles and over every parent.
+
+    The nodes below a node are those whose ``pos`` lies between ``first`` and ``last`` of one of its rows; a leaf has one
+    row with an empty range. ``pos`` and ``root_id`` (of its tree) are the same in all rows of a node, and the ranges of
+    a node are disjoint. A node on a cycle is below itself.
+
+    Each cycle is condensed to its smallest node, under which its other nodes hang, so that what is left has no cycles;
+    every member has the range of the smallest node, that node included. Nodes hang below one of their parents; a link
+    from another parent gives its lower end's range to that parent and to all nodes above it.
+    """
+    h = materialize(hierarchy(df, parent, child, rank, every, trail=True), "trails")
+    edges = materialize(links(df, parent, child, rank).select("v", "p", F.expr("try_cast(path as int)").alias("rank")), "edges")
+    bad = materialize(h.filter("depth < 0").select(F.col("node_id").alias("v")), "bad")
+    into = edges.join(bad, "v", "left_semi")
+    inner = materialize(into.join(bad.select(F.col("v").alias("p")), "p", "left_semi").select("v", "p", "rank"), "inner")
+    entries = into.join(bad.select(F.col("v").alias("p")), "p", "left_anti")
+    rings = materialize(cycle_members(inner), "rings")
+    of_v = rings.select("v", F.col("c").alias("cv"))
+    of_p = rings.select(F.col("v").alias("p"), F.col("c").alias("cp"))
+
+    # Without its cycles: links that lead into a ring lead to its smallest node, links inside it are gone.
+    flat = inner.join(of_v, "v", "left").join(of_p, "p", "left").filter("cv is null or cp is null or cv <> cp").select(F.coalesce("cv", "v").alias("v"), "p", "rank")
+    flat = flat.unionByName(rings.filter("v <> c").select("v", F.col("c").alias("p"), F.lit(0).alias("rank")))
+    flat = materialize(flat.groupBy("v", "p").agg(F.min("rank").alias("rank")), "flat")
+    alone = bad.select("v", F.lit(None).cast("long").alias("p"), F.lit(None).cast("int").alias("rank"))
+    inside = materialize(hierarchy(flat.unionByName(alone), "p", "v", "rank", every, trail=True), "inside")
+    entries = materialize(entries.join(of_v, "v", "left").groupBy(F.coalesce("cv", "v").alias("v"), "p").agg(F.min("rank").alias("rank")), "entries")
+    tops = inside.filter("depth = 0").select(F.col("node_id").alias("v"))
+    hung = entries.join(tops, "v", "left_semi").groupBy("v").agg(F.min(F.struct("p", "rank")).alias("x")).select("v", "x.p", "x.rank")
+    good = h.filter("depth >= 0").select("node_id", "root_id", "path")
+    over = hung.join(good, F.col("p") == F.col("node_id")).select(
+        F.col("v").alias("top"), F.col("root_id").alias("r"),
+        _join_path(F.col("path"), F.concat(F.coalesce(F.col("rank").cast("string"), F.lit("")), F.lit(":"), F.col("v").cast("string"))).alias("up"),
+    )
+    moved = inside.join(over, F.col("root_id") == F.col("top"), "left").select(
+        "node_id", F.coalesce("r", "root_id").alias("root_id"), F.when(F.col("up").isNull(), F.col("path")).otherwise(_join_path(F.col("up"), F.col("path"))).alias("path")
+    )
+    whole = materialize(good.unionByName(moved), "whole")
+
+    placed, above = _numbered(whole)
+    numbered = materialize(placed, "numbered")
+    at = numbered.select(F.col("node_id").alias("c"), "pos", "last")
+    ring = rings.join(at, "c").select(F.col("v").alias("node_id"), F.col("pos").alias("lo"), F.col("last").alias("hi"))
+    own = numbered.join(ring, "node_id", "left").select("node_id", F.coalesce("lo", F.col("pos") + 1).alias("first"), F.coalesce("hi", "last").alias("last"))
+
+    # Links from further parents: a node that hangs below its parent in the trees has the parent just above it.
+    healthy = edges.join(bad, "v", "left_anti").select("v", "p")
+    everything = healthy.unionByName(flat.select("v", "p")).unionByName(entries.select("v", "p"))
+    hangs = above.select(F.col("node_id").alias("v"), F.element_at("above", -1).alias("p"))
+    extra = materialize(everything.join(hangs, ["v", "p"], "left_anti").distinct(), "extra")
+    if not extra.isEmpty():
+        n = numbered.select("node_id", "root_id", "pos", "last")
+        src = n.select(F.col("node_id").alias("p"), F.col("root_id").alias("sr"), F.col("pos").alias("at"))
+        dst = n.select(F.col("node_id").alias("v"), F.col("root_id").alias("dr"), F.col("pos").alias("lo"), F.col("last").alias("hi"))
+        spans = materialize(extra.join(src, "p").join(dst, "v"), "spans")
+        # (p, lo, hi): what is reached from p over one link, then over links that start in what is reached.
+        found = materialize(spans.select("p", "dr", "lo", "hi").distinct(), "reached")
+        new = found
+        onward = spans.select(F.col("sr").alias("dr"), "at", F.col("dr").alias("dr2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+        while not new.isEmpty():
+            met = new.join(onward, "dr").filter("at between lo and hi").select("p", F.col("dr2").alias("dr"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi")).distinct()
+            new = materialize(met.join(found, ["p", "dr", "lo", "hi"], "left_anti"), "reached")
+            found = found.unionAll(new)
+        found = found.select("p", "lo", "hi")
+        ups = above.join(extra.select(F.col("p").alias("node_id")).distinct(), "node_id", "left_semi").select(F.col("node_id").alias("p"), F.explode("above").alias("node_id"))
+        given = found.select(F.col("p").alias("node_id"), "lo", "hi").unionByName(ups.join(found, "p").select("node_id", "lo", "hi"))
+        # The members of a ring share what any of them is given.
+        to_ring = rings.select(F.col("v").alias("node_id"), "c")
+        given = given.join(to_ring, "node_id", "left")
+        shared = given.filter("c is not null").select("c", "lo", "hi").distinct().join(to_ring, "c").select("node_id", F.col("lo").alias("first"), F.col("hi").alias("last"))
+        own = own.unionByName(given.filter("c is null").select("node_id", F.col("lo").alias("first"), F.col("hi").alias("last"))).unionByName(shared)
+        # Ranges are nested or apart; a range inside another one, and an empty one beside others, says nothing new.
+        several = extra.select("p").join(ups, "p", "left").select(F.explode(F.array("p", "node_id")).alias("node_id")).filter("node_id is not null").unionByName(shared.select("node_id")).distinct()
+        several = materialize(several, "several")
+        w = Window.partitionBy("node_id").orderBy(F.col("empty"), "first", F.desc("last"))
+        many = own.join(several, "node_id", "left_semi").distinct().withColumn("empty", F.col("last") < F.col("first"))
+        many = many.withColumn("top", F.max(F.when(~F.col("empty"), F.col("last"))).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+        many = many.filter(F.col("top").isNull() | (~F.col("empty") & (F.col("last") > F.col("top")))).select("node_id", "first", "last")
+        own = own.join(several, "node_id", "left_anti").unionByName(many)
+    return numbered.select("node_id", "root_id", "pos").join(own, "node_id").select("node_id", "root_id", "pos", "first", "last")
+
+
+def _numbered(h: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node_id, root_id, pos, last) in the order of the trees, and (node_id, above) of those not at a root, from trails."""
+    steps = F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(F.split("path", "\\."))
+    parts = h.select("node_id", "root_id", steps.alias("s"))
+    order = F.transform("s", lambda x: F.struct(F.substring_index(x, ":", 1).try_cast("int").alias("r"), F.substring_index(x, ":", -1).cast("long").alias("n")))
+    placed = dense_ids(parts.select("node_id", "root_id", order.alias("o")), ["root_id", "o"], "pos")
+    ids = F.concat(F.array("root_id"), F.transform(F.slice("s", F.lit(1), F.greatest(F.size("s") - 1, F.lit(0))), lambda x: F.substring_index(x, ":", -1).cast("long")))
+    above = parts.filter(F.size("s") > 0).select("node_id", ids.alias("above"))
+    sizes = above.select(F.explode("above").alias("a")).groupBy("a").agg(F.count(F.lit(1)).alias("size"))
+    return placed.join(sizes, F.col("node_id") == F.col("a"), "left").select("node_id", "root_id", "pos", (F.col("pos") + F.coalesce("size", F.lit(0))).alias("last")), above
+
+
+def all_nodes_below(numbered: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+    """(node_id, below_id) for the chosen nodes, by a range join on the numbers of :func:`below_all`.
+
+    The distinct positions are cut into blocks of 1,024, so that a range meets only the blocks it touches.
+    """
+    block = 1024
+    chosen = numbered.join(nodes.select(F.col(key).alias("node_id")).distinct(), "node_id", "left_semi").filter("first <= last")
+    chosen = chosen.select("node_id", "first", "last", F.explode(F.sequence(F.floor(F.col("first") / block), F.floor(F.col("last") / block))).alias("b"))
+    under = numbered.select(F.col("node_id").alias("below_id"), F.col("pos").alias("at")).distinct().withColumn("b", F.floor(F.col("at") / block))
+    return chosen.join(under, "b").filter("at between first and last").select("node_id", "below_id")
+
+
+def _strong(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(v, c) of the nodes on cycles of the links (v, t): strongly connected components, by Tarjan's method without recursion."""
+    ups: dict[int, list[int]] = {}
+    for b in batches:
+        for v, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            ups.setdefault(v, []).append(t)
+    index: dict[int, int] = {}
+    low: dict[int, int] = {}
+    held: list[int] = []
+    on: set[int] = set()
+    out_v, out_c = [], []
+    for start in ups:
+        if start in index:
+            continue
+        index[start] = low[start] = len(index)
+        held.append(start)
+        on.add(start)
+        todo = [(start, iter(ups[start]))]
+        while todo:
+            v, rest = todo[-1]
+            for t in rest:
+                if t not in index:
+                    index[t] = low[t] = len(index)
+                    held.append(t)
+                    on.add(t)
+                    todo.append((t, iter(ups.get(t, ()))))
+                    break
+                if t in on:
+                    low[v] = min(low[v], index[t])
+            else:
+                todo.pop()
+                if todo:
+                    low[todo[-1][0]] = min(low[todo[-1][0]], low[v])
+                if low[v] == index[v]:
+                    part = []
+                    while not part or part[-1] != v:
+                        part.append(held.pop())
+                        on.discard(part[-1])
+                    if len(part) > 1 or v in ups.get(v, ()):
+                        out_v += part
+                        out_c += [v] * len(part)
+    yield pa.RecordBatch.from_arrays([pa.array(out_v, pa.int64()), pa.array(out_c, pa.int64())], names=["v", "c"])
+
+
+def cycle_members(edges: DataFrame) -> DataFrame:
+    """(v, c) of the nodes on cycles of the distinct links (v, p): c is the smallest node of those that reach each other.
+
+    Nodes with one parent are walked over by pointer doubling. Walks without end lead to a cycle of such nodes alone; of
+    the others only the nodes with several parents and the walks between them are left, far fewer, for one task.
+    """
+    loops = edges.filter("v = p").select("v")
+    e = materialize(edges.filter("v <> p").select("v", "p"), "ring-links")
+    per = e.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    multi = materialize(per.filter("n > 1").select("v"), "ring-multi")
+    single = e.join(multi, "v", "left_anti")
+    settled, endless = _walk(single.select("v", "p", F.lit(1).alias("d"), F.col("v").cast("string").alias("path")), "ring-walk")
+    endless = materialize(endless, "ring-endless")
+
+    # After more steps than there are nodes every walk stands on its cycle, and all nodes of the cycle are stood on.
+    f = materialize(single.join(endless, "v", "left_semi").select("v", "p", F.col("v").alias("m")), "ring-steps")
+    n, steps = f.count(), 1
+    while steps < n:
+        nxt = f.select(F.col("v").alias("p"), F.col("p").alias("p2"), F.col("m").alias("m2"))
+        last, f = f, materialize(f.join(nxt, "p").select("v", F.col("p2").alias("p"), F.least("m", "m2").alias("m")), "ring-steps")
+        forget(last)
+        steps *= 2
+    pure = f.join(f.select(F.col("p").alias("v")).distinct(), "v", "left_semi").select("v", F.col("m").alias("c"))
+
+    ways = e.join(multi, "v", "left_semi").select("v", F.col("p").alias("via")).join(endless.select(F.col("v").alias("via")), "via", "left_anti")
+    ways = materialize(ways.join(settled.select(F.col("v").alias("via"), "p", "path"), "via", "left").select("v", F.coalesce("p", "via").alias("t"), "path"), "ring-ways")
+    strong = materialize(ways.select("v", "t").distinct().coalesce(1).mapInArrow(_strong, "v long, c long"), "ring-strong")
+    of_t = strong.select(F.col("v").alias("t"), "c")
+    between = ways.filter("path is not null").join(strong, "v").join(of_t, ["t", "c"], "left_semi").select(F.explode(F.split("path", "\\.").cast("array<long>")).alias("v"), "c")
+    rings = pure.unionByName(strong).unionByName(between).distinct()
+    names = rings.groupBy("c").agg(F.min("v").alias("least"))
+    rings = materialize(rings.join(names, "c").select("v", F.col("least").alias("c")), "ring-members")
+    return rings.unionByName(loops.join(rings.select("v"), "v", "left_anti").select("v", F.col("v").alias("c")))
+
+
 def hierarchy(df: DataFrame, parent: str, child: str, rank: str, every: int = 16, trail: bool = False) -> DataFrame:
     """(node_id, root_id, depth, path) of every node of the links in ``df``; see :func:`links` for dirty rows.
 

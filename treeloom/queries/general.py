@@ -98,6 +98,11 @@ def p4_below(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy_paths.below(table(spark, d, "m_ast_container"), "ast_id", "ref_ast_id", "priority")
 
 
+def p4_below_all(spark: SparkSession, d: str) -> DataFrame:
+    """All nodes below each node, those on and below cycles included; :func:`p4_below` has the nodes off cycles only."""
+    return hierarchy_paths.below_all(table(spark, d, "m_ast_container"), "ast_id", "ref_ast_id", "priority")
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------
 
 def _p5(spark: SparkSession, d: str) -> DataFrame:
@@ -166,7 +171,7 @@ def p6_types(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_history, p2_found, p2_counts, p3_found, p3_counts, p4_found, p4_below, p5_found, p5_periods, p6_found, p6_files, p6_types)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_history, p2_found, p2_counts, p3_found, p3_counts, p4_found, p4_below, p4_below_all, p5_found, p5_periods, p6_found, p6_files, p6_types)}
 
 # SQL of the same results, for DuckDB over the same tables -----------------------------------------------------------
 
