@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from treeloom.operators import dangling, intervals, selection, snapshots
+from treeloom.queries import general
 
 
 def rows(df):
@@ -53,6 +54,22 @@ def test_dangling_of_nothing(spark):
     assert rows(dangling.dangling_keys([dangling.side(ref, 0, 0, "k"), dangling.side(none, 0, dangling.IN_TABLE, "k")]).select("key")) == [(4,)]
 
 
+def test_references_are_counted_and_not_only_their_keys(spark, tmp_path):
+    tables = {
+        "m_ast_container": ([(1, 0, 0, 77), (1, 1, 0, 77), (2, 0, 0, 77), (2, 0, 0, 77), (2, 1, 0, 1)], "ast_id long, priority int, type_id short, ref_ast_id long"),
+        "m_bridge_tag": ([(1, 5, 1, 1, 1, 1)], "fid long, tag_id long, line_s int, line_e int, char_s int, char_e int"),
+        "m_ast_include": ([], "ast_id long, fnid long"),
+        "m_tag": ([(5, 1, 0, "a", 77, 0, 0), (6, 1, 0, "a", 77, 0, 0), (6, 2, 0, "a", 77, 0, 0), (7, None, 0, "a", 78, 0, 0)], "tag_id long, vid_s int, vid_e int, code string, ast_id long, hl_s int, hl_l int"),
+        "m_ast": ([(1, "x", 1), (2, "x", 1)], "ast_id long, name string, type_id short"),
+        "m_file_name": ([], "fnid long, fname string"),
+        "key_log": ([], "log_id long, tbl string, key_id long, vid int, what string, logged_at timestamp"),
+    }
+    for name, (data, schema) in tables.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = general.p2_references(spark, str(tmp_path))
+    assert rows(got) == sorted([("m_ast_container", "table", None, 3, 1), ("m_tag", "table", None, 4, 2), ("m_tag", "version", 1, 2, 1), ("m_tag", "version", 2, 1, 1), ("m_tag", "version", None, 1, 1)], key=repr)
+
+
 def test_last_log_entry(spark):
     log = spark.createDataFrame([(1, "t", 5, "arrived", 3), (2, "t", 5, "deleted", 3), (3, "t", 5, "arrived", None), (4, "t", 6, "arrived", 1), (5, None, 6, "deleted", 9)], "log_id long, tbl string, key_id long, what string, logged_at int")
     assert rows(dangling.last_log(log)) == [("t", 5, "deleted"), ("t", 6, "arrived")]

@@ -74,6 +74,20 @@ def p2_counts(spark: SparkSession, d: str) -> DataFrame:
     return _dangling(spark, d).groupBy(name.alias("src"), period.alias("vid")).agg(F.count(F.lit(1)).alias("missing_keys"))
 
 
+def p2_references(spark: SparkSession, d: str) -> DataFrame:
+    """Dangling references and the keys they miss: per table (level "table") and, where rows have a version, per version.
+
+    A reference is a row of :func:`p2_found`. Tables without one have no row; in level "version" a null vid stands for rows without it.
+    """
+    dated = [r[0] for r in REFERENCES if r[6] is not None]  # their k2 is the version
+    vid = F.when(F.col("src").isin(dated), F.col("k2")).cast("int")
+    per = materialize(p2_found(spark, d).groupBy("src", "ref_id", vid.alias("vid")).agg(F.count(F.lit(1)).alias("n")), "per-key")
+    n = F.sum("n").alias("refs")
+    whole = per.groupBy("src").agg(n, F.countDistinct("ref_id").alias("missing_keys")).select("src", F.lit("table").alias("level"), F.lit(None).cast("int").alias("vid"), "refs", "missing_keys")
+    each = per.filter(F.col("src").isin(dated)).groupBy("src", "vid").agg(n, F.count(F.lit(1)).alias("missing_keys"))
+    return whole.unionByName(each.select("src", F.lit("version").alias("level"), "vid", "refs", "missing_keys"))
+
+
 # 3 ---------------------------------------------------------------------------------------------------------------
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -171,7 +185,7 @@ def p6_types(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_history, p2_found, p2_counts, p3_found, p3_counts, p4_found, p4_below, p4_below_all, p5_found, p5_periods, p6_found, p6_files, p6_types)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_history, p2_found, p2_counts, p2_references, p3_found, p3_counts, p4_found, p4_below, p4_below_all, p5_found, p5_periods, p6_found, p6_files, p6_types)}
 
 # SQL of the same results, for DuckDB over the same tables -----------------------------------------------------------
 
@@ -282,6 +296,10 @@ SQL: dict[str, str] = {
     "p1_history": f"with {_CHAIN_SQL} select c.kind, c.key_id, c.vid_s, cast(c.vid_e as int) vid_e, c.code, c.ast_id from chains c where what <> 'end' and (c.kind <> 'tag' or c.key_id <> 0 or exists (select 1 from touched t where t.kind = 'tag' and t.key_id = 0))",
     "p2_found": _P2_SQL + " select distinct src, k1, k2, ref_id from missing",
     "p2_counts": _P2_SQL + " select src, vid, count(distinct ref_id) missing_keys from missing group by 1, 2",
+    "p2_references": _P2_SQL + """, found as (select distinct src, k1, k2, ref_id from missing)
+select src, 'table' as level, cast(null as int) vid, count(*) refs, count(distinct ref_id) missing_keys from found group by src
+union all
+select src, 'version', cast(k2 as int), count(*), count(distinct ref_id) from found where src = 'm_tag' group by src, k2""",
     "p3_found": _P3_SQL + " select vid, fnid, change from changes where change is not null",
     "p3_counts": _P3_SQL + " select vid, change, count(*) n from changes where change is not null group by 1, 2",
     "p4_found": _P4_SQL,
