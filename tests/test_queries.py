@@ -43,6 +43,32 @@ def test_query(spark, duck, tmp_path, name):
     assert Counter(map(repr, duck.fetchall())) == want
 
 
+@needs_data
+def test_all_transitions_are_read(spark):
+    q = entry.queries()
+    vids = {r[0] for r in spark.read.parquet(f"{DATA}/m_bridge_file.parquet").select("vid").distinct().collect()}
+    assert len(vids) > 2
+    for name in ("diff_classify_all", "unchanged_propagate_all", "directory_changes_all"):
+        assert {r[0] for r in q[name](spark, DATA).select("vid").distinct().collect()} == vids - {min(vids)}
+    # Two ways to the same history; only the tree knows renames.
+    cols = ("fnid", "vid_s", "vid_e")
+    tree, scd2 = q["tree_history"](spark, DATA), q["scd2_history"](spark, DATA)
+    assert Counter(map(tuple, tree.select(*cols, "content").collect())) == Counter(map(tuple, scd2.select(*cols, "fid").collect()))
+    assert tree.filter("s_stat not in ('A', 'M', 'R') or e_stat not in ('0', 'M', 'D', 'R')").isEmpty()
+
+
+@needs_data
+def test_reports_of_another_version_hide_nothing(spark, tmp_path):
+    def put(name, data, schema):
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    put("m_bridge_file", [(v, f, f) for v, fs in ((1, (1, 2, 3, 4)), (2, (1, 9)), (4, (9, 5, 6))) for f in fs], "vid int, fnid long, fid long")
+    put("raw_update", [(1, "file", 2, 2, "D"), (2, "file", 3, 4, "D"), (3, "file", 1, 3, "D"), (4, "file", 5, 3, "A"), (5, "file", 6, 1, "A"), (6, "file", 4, None, "D")], "upd_id long, kind string, key_id long, vid int, stat string")
+    q = entry.queries()
+    assert sorted(map(tuple, q["forgotten_deletes_all"](spark, str(tmp_path)).collect())) == [(2, 3), (2, 4)]
+    assert sorted(map(tuple, q["forgotten_news_all"](spark, str(tmp_path)).collect())) == [(2, 9), (4, 6)]
+
+
 @needs_data
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

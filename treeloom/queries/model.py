@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeloom.functions import report, source_text, text
 from treeloom.operators import browse, extents, select, staging, tags, versions
 from treeloom.plans import joingraph
 from treeloom.plans.joingraph import Join
+from treeloom.runtime import materialize
 from treeloom.sources.catalog import NODE_TYPES, table, table_counts, type_descriptor
 from treeloom.sources.engines import debug_json
+from treeloom.streaming.versions import VersionedTree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -359,6 +361,119 @@ def directory_changes(spark, d):
     return versions.directory_changes(old, new, "fname")
 
 
+# The same over all delivered snapshots: vid is the later one of each two that follow each other -----------------------
+
+def _transitions(spark, d):
+    """(old, new): per snapshot but the first, the paths before and at vid, as (k = (vid, fnid), vid, fnid, fid); and (vid, old)."""
+    b = table(spark, d, "m_bridge_file").filter("vid is not null and fnid is not null")
+    snaps = b.groupBy("vid", "fnid").agg(F.max("fid").alias("fid"))
+    # One row per version: the window holds no more.
+    steps = table(spark, d, "m_bridge_file").filter("vid is not null").select("vid").distinct().withColumn("old", F.lag("vid").over(Window.orderBy("vid"))).filter("old is not null")
+    k = F.struct("vid", "fnid").alias("k")
+    old = snaps.withColumnRenamed("vid", "old").join(F.broadcast(steps), "old").select(k, "vid", "fnid", "fid")
+    new = snaps.join(F.broadcast(steps), "vid").select(k, "vid", "fnid", "fid")
+    return old, new, steps
+
+
+_ALL_SNAPS = """s as (select vid, fnid, max(fid) fid from m_bridge_file where vid is not null and fnid is not null group by 1, 2),
+v as (select vid, old from (select vid, lag(vid) over (order by vid) old from (select distinct vid from m_bridge_file where vid is not null)) where old is not null),
+o as (select v.vid, s.fnid, s.fid from v join s on s.vid = v.old), n as (select v.vid, s.fnid, s.fid from v join s on s.vid = v.vid)"""
+
+
+@query(f"""with {_ALL_SNAPS} select coalesce(n.vid, o.vid) vid, coalesce(n.fnid, o.fnid) fnid, case when o.fnid is null then 'A' when n.fnid is null then 'D' when o.fid is distinct from n.fid then 'M' else '=' end op
+from o full join n on o.vid = n.vid and o.fnid = n.fnid""")
+def diff_classify_all(spark, d):
+    old, new, _ = _transitions(spark, d)
+    return versions.classify(old, new, "k", "fid").select("k.vid", "k.fnid", "op")
+
+
+@query(f"with {_ALL_SNAPS} select o.vid, o.fnid from o join n on o.vid = n.vid and o.fnid = n.fnid and o.fid is not distinct from n.fid")
+def unchanged_propagate_all(spark, d):
+    old, new, _ = _transitions(spark, d)
+    return versions.unchanged(old.select("k", "fid"), new.select(F.col("k").alias("k2"), "fid").withColumnRenamed("k2", "k"), "k", "fid").select("k.vid", "k.fnid")
+
+
+def _reported_by(spark, d, stat, steps):
+    """Reports of a kind by the snapshot they belong to: the first delivered one at or after their version."""
+    r = table(spark, d, "raw_update").filter((F.col("kind") == "file") & (F.col("stat") == stat)).select(F.col("vid").alias("at"), F.col("key_id").alias("fnid"))
+    return r.join(F.broadcast(steps), (F.col("at") > F.col("old")) & (F.col("at") <= F.col("vid"))).select(F.struct("vid", "fnid").alias("k")).distinct()
+
+
+_REPORTED_AT = "select v.vid, r.key_id fnid from raw_update r join v on r.vid > v.old and r.vid <= v.vid where r.kind = 'file' and r.stat = '{0}'"
+
+
+@query(f"""with {_ALL_SNAPS}, r as ({_REPORTED_AT.format('D')}) select vid, fnid from o
+where not exists (select 1 from n where n.vid = o.vid and n.fnid = o.fnid) and not exists (select 1 from r where r.vid = o.vid and r.fnid = o.fnid)""")
+def forgotten_deletes_all(spark, d):
+    old, new, steps = _transitions(spark, d)
+    return versions.forgotten(old, new, _reported_by(spark, d, "D", steps), "k").select("k.vid", "k.fnid")
+
+
+@query(f"""with {_ALL_SNAPS}, r as ({_REPORTED_AT.format('A')}) select vid, fnid from n
+where not exists (select 1 from o where o.vid = n.vid and o.fnid = n.fnid) and not exists (select 1 from r where r.vid = n.vid and r.fnid = n.fnid)""")
+def forgotten_news_all(spark, d):
+    old, new, steps = _transitions(spark, d)
+    return versions.forgotten(new, old, _reported_by(spark, d, "A", steps), "k").select("k.vid", "k.fnid")
+
+
+def _snapshots(spark, d):
+    """The delivered vids in order, and (vid, fnid, fid) of all."""
+    b = table(spark, d, "m_bridge_file").filter("vid is not null")
+    vids = sorted(r[0] for r in b.select("vid").distinct().collect())  # one row per version
+    return vids, materialize(b.filter("fnid is not null").groupBy("vid", "fnid").agg(F.max("fid").alias("fid")), "snapshots")
+
+
+@query("""with s as (select vid, fnid, max(fid) fid from m_bridge_file where vid is not null and fnid is not null group by 1, 2),
+v as (select vid, row_number() over (order by vid) i, lead(vid) over (order by vid) nxt from (select distinct vid from m_bridge_file where vid is not null)),
+x as (select s.*, v.i, v.nxt, lag(v.i) over w pi, lag(s.fid) over w pf, lead(v.i) over w ni from s join v on s.vid = v.vid window w as (partition by fnid order by v.i)),
+y as (select *, case when pi is null or pi <> i - 1 then 'A' when pf is distinct from fid then 'M' end st from x),
+z as (select *, count(st) over (partition by fnid order by i) g from y)
+select fnid, max(fid) fid, min(vid) vid_s, cast(coalesce(arg_max(coalesce(nxt, 1), i) - 1, 0) as int) vid_e, max(st) s_stat,
+  case when arg_max(coalesce(nxt, -1), i) = -1 then '0' when arg_max(coalesce(ni, -1), i) = max(i) + 1 then 'M' else 'D' end e_stat from z group by fnid, g""")
+def scd2_history(spark, d):
+    """Validity rows of every path over all snapshots: each closes and opens rows; before the first there is none."""
+    vids, snaps = _snapshots(spark, d)
+    closed, active = [], spark.createDataFrame([], "fnid long, fid long, vid_s int, vid_e int, s_stat string, e_stat string")
+    for vid in vids:
+        new = snaps.filter(F.col("vid") == vid).select("fnid", "fid")
+        # close_open names keys, not contents: an open row has the content of the new snapshot, a closed one that of the old.
+        rows = versions.close_open(active, new, "fnid", "fid", vid)
+        was = active.select("fnid", "vid_s", F.col("fid").alias("was"))
+        rows = rows.join(was, ["fnid", "vid_s"], "left").join(new.withColumnRenamed("fid", "now"), "fnid", "left")
+        rows = materialize(rows.select("fnid", F.when((F.col("vid_s") == vid), F.col("now")).otherwise(F.col("was")).alias("fid"), "vid_s", "vid_e", "s_stat", "e_stat"), "scd2")
+        closed.append(rows.filter("e_stat <> '0'"))
+        active = rows.filter("e_stat = '0'")
+    for c in closed:
+        active = active.unionByName(c)
+    return active
+
+
+@query()
+def tree_history(spark, d):
+    """Every snapshot applied to the versioned tree, renames included; a path is its fnid, its content the fid of the snapshot."""
+    vids, snaps = _snapshots(spark, d)
+    kinds = table(spark, d, "m_file").groupBy("fid").agg(F.max("ftype").cast("smallint").alias("ftype"))
+    snaps = materialize(snaps.join(kinds, "fid", "left").select("vid", F.col("fnid").cast("string").alias("path"), F.col("fid").cast("string").alias("content"), "ftype"), "kinds")
+    tree = VersionedTree(spark)
+    tree.last = min(vids, default=1) - 1
+    for vid in vids:
+        tree.add(snaps.filter(F.col("vid") == vid), vid)
+    return tree.files.select("fid", F.col("path").cast("long").alias("fnid"), F.col("content").cast("long").alias("content"), "vid_s", "vid_e", "ftype", "s_stat", "e_stat")
+
+
+_ALL_DIRS = """select distinct vid, array_to_string(list_slice(string_split(fname, '/'), 1, i), '/') dir from (select vid, fname, unnest(range(1, len(string_split(fname, '/')))) i from m_file_name join {0} using (fnid) where fname like '%/%')"""
+
+
+@query(f"with {_ALL_SNAPS}, a as ({_ALL_DIRS.format('o')}), b as ({_ALL_DIRS.format('n')}) select coalesce(b.vid, a.vid) vid, coalesce(b.dir, a.dir) dir, case when a.dir is null then 'A' when b.dir is null then 'D' else '=' end op from a full join b on a.vid = b.vid and a.dir = b.dir")
+def directory_changes_all(spark, d):
+    old, new, _ = _transitions(spark, d)
+    names = table(spark, d, "m_file_name")
+    # The vid goes before the path as a directory of its own and is taken off again.
+    sides = [x.join(names, "fnid").select(F.concat_ws("/", "vid", "fname").alias("at")) for x in (old, new)]
+    at = F.instr("dir", "/")
+    return versions.directory_changes(*sides, "at").filter(at > 0).select(F.substring_index("dir", "/", 1).cast("int").alias("vid"), F.expr("substring(dir, instr(dir, '/') + 1)").alias("dir"), "op")
+
+
 # Tags -------------------------------------------------------------------------------------------------------------
 
 _NODES = "select distinct b.fid, b.tag_id, t.code, b.line_s, b.char_s from m_bridge_tag b join m_tag t on b.tag_id = t.tag_id where t.vid_s {0} 8"
