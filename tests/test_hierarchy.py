@@ -6,6 +6,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
+from treeloom.operators import browse
 from treeloom.operators import hierarchy_paths as hp
 
 sys.setrecursionlimit(10_000)
@@ -131,6 +132,12 @@ def test_all_nodes_below_with_cycles_and_several_parents(spark, every):
     assert hp.below_all(df.limit(0), "ast_id", "ref_ast_id", "priority").count() == 0
 
 
+def test_container_depths_have_no_bound(spark, monkeypatch):
+    monkeypatch.setattr(browse, "range", lambda *a: iter(range(*a[:-1], min(a[-1], 3))), raising=False)  # a bound would end at 2 levels
+    edges = spark.createDataFrame([(1, i, i + 1) for i in range(1, 5)], "g long, p long, c long")
+    assert {r["node"]: r["depth"] for r in browse.container_depths(edges, "g", "p", "c").collect()} == {i: i - 1 for i in range(1, 6)}
+
+
 def test_small_cases(spark):
     assert got(spark.createDataFrame([], SCHEMA)) == {}
     data = [(10, 0, 11), (10, 1, 12), (11, 0, 13), (20, 0, 21), (21, 0, 20), (30, 0, 0)]

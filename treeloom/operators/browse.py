@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -82,7 +84,7 @@ def tag_detail(tag_id: int, bridge: DataFrame, tags: DataFrame, ast: DataFrame,
     return one.join(b, "tag_id", "left").join(a, "ast_id").join(names, F.col("type_id") == F.col("_t"), "left").drop("_t").orderBy("vid_s", "fid", "line_s", "char_s", "line_e", "char_e").limit(1)
 
 
-def container_depths(edges: DataFrame, group: str, parent: str, child: str, most: int = 1000) -> DataFrame:
+def container_depths(edges: DataFrame, group: str, parent: str, child: str) -> DataFrame:
     """(group, node, depth): least number of links from a root of the group, by set-wise breadth-first search.
 
     Roots are parents that are no child in the group, or all parents if there are none. Ids 0 and null are no nodes.
@@ -95,7 +97,7 @@ def container_depths(edges: DataFrame, group: str, parent: str, child: str, most
     rootless = heads.join(roots.select("g").distinct(), "g", "left_anti")
     reached = materialize(roots.unionByName(rootless).select("g", F.col("p").alias("n"), F.lit(0).alias("d")), "reached")
     frontier, parts = reached, [reached]
-    for level in range(1, most + 1):
+    for level in count(1):  # reached nodes are taken out, so the frontier runs empty
         met = frontier.select("g", F.col("n").alias("p")).join(e, ["g", "p"]).select("g", F.col("c").alias("n")).distinct()
         for part in parts:
             met = met.join(part.select("g", "n"), ["g", "n"], "left_anti")
