@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from treeloom.functions import source_text
 from treeloom.operators import dangling, intervals, selection, snapshots
 from treeloom.queries import general
 
@@ -70,6 +71,12 @@ def test_references_are_counted_and_not_only_their_keys(spark, tmp_path):
     assert rows(got) == sorted([("m_ast_container", "table", None, 3, 1), ("m_tag", "table", None, 4, 2), ("m_tag", "version", 1, 2, 1), ("m_tag", "version", 2, 1, 1), ("m_tag", "version", None, 1, 1)], key=repr)
 
 
+def test_only_comments_of_directives_are_cut(spark):
+    long = "x" * 300
+    df = spark.createDataFrame([(1, f'#include "{long}"\n#error {long}\n# comment {long}')], "k long, text string")
+    assert [r["rest"] for r in source_text.directive_rows(df, "k", "text").orderBy("line").collect()] == [f'"{long}"', long, long[:255]]
+
+
 def test_last_log_entry(spark):
     log = spark.createDataFrame([(1, "t", 5, "arrived", 3), (2, "t", 5, "deleted", 3), (3, "t", 5, "arrived", None), (4, "t", 6, "arrived", 1), (5, None, 6, "deleted", 9)], "log_id long, tbl string, key_id long, what string, logged_at int")
     assert rows(dangling.last_log(log)) == [("t", 5, "deleted"), ("t", 6, "arrived")]

@@ -38,7 +38,7 @@ def directive(code: Column) -> Column:
 def directive_rows(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, line, word, type_id, name, rest) of preprocessor lines.
 
-    Unknown words are comments of assembly; ``embed`` gives no row. A define with a body is a macro.
+    Unknown words are comments of assembly; ``embed`` gives no row. A define with a body is a macro. Only comments are cut, to 255 characters.
     """
     rows = source_lines(df, key, text).withColumn("word", directive(F.col("code"))).filter("word <> '' and word <> 'embed'")
     rest = F.trim(F.regexp_replace(F.col("code"), "^[ \\t]*#[ \\t]*[a-z]+", ""))
@@ -48,7 +48,8 @@ def directive_rows(df: DataFrame, key: str, text: str) -> DataFrame:
     kind = F.when(macro, F.lit(DEFINE_MACRO))
     for w, t in DIRECTIVES.items():
         kind = kind.when(F.col("word") == w, F.lit(t))
-    return rows.select(key, "line", "word", kind.otherwise(F.lit(ASM_COMMENT)).cast("int").alias("type_id"), name.alias("name"), F.substring("rest", 1, 255).alias("rest"))
+    rows = rows.select(key, "line", "word", kind.otherwise(F.lit(ASM_COMMENT)).cast("int").alias("type_id"), name.alias("name"), "rest")
+    return rows.withColumn("rest", F.when(F.col("type_id") == ASM_COMMENT, F.substring("rest", 1, 255)).otherwise(F.col("rest")))
 
 
 def macro_arguments(code: Column) -> Column:
