@@ -66,3 +66,14 @@ def test_solver_against_volume():
                 spent[x] += t * k
         assert (spent == counts).all()
         assert sum(t for t, _ in patterns) <= -(-int((counts * np.arange(513)).sum()) // 512) + 1
+
+
+def test_a_pair_beyond_64_used_ones_is_found():
+    import numpy as np
+
+    from treeloom.llm.packing import _Sums
+
+    counts = np.zeros(1001, int)
+    counts[430:571] = 1
+    used = {x: 1 for x in range(501, 571) if x != 502}
+    assert _Sums(counts).pair(1000, used) == (502, 498)

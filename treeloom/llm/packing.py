@@ -43,7 +43,7 @@ class _Sums:
         half = np.arange(gap - 1, (gap - 1) // 2, -1)  # the longer of the two, longest first
         half = half[half >= (gap + 1) // 2]
         ok = half[(self.n[half] > 0) & (self.n[gap - half] > 0)]
-        for a in ok[:64]:  # the first is usable unless its items are used up by this very container
+        for a in ok:  # the first is usable unless its items are used up by this very container
             found = (int(a), int(gap - a))
             if self.usable(found, used):
                 self.pair_of[gap] = found
