@@ -166,8 +166,11 @@ def test_scalars(spark):
 
     for name, want in (("a.c", 1), ("a.h", 1), ("a.S", 4), ("a.s", 4), ("x/Kconfig", 2), ("m.rs", 3), ("Makefile", None)):
         assert value(text.file_type(F.col("c0")), name) == want
-    assert text.strip_comments("a /* x\ny */ b // c") == "a \n b " and text.strip_comments('s = "//"; c = \'"\'; /* gone */ d') == 's = "//"; c = \'"\';  d'
-    assert text.strip_comments(None) is None and text.strip_comments("/* open") == "/* open"
+    bare = lambda t: value(text.comment_free(F.col("c0").cast("string")), t)
+    assert bare("a /* x\ny */ b // c") == "a \n b " and bare('s = "//"; c = \'"\'; /* gone */ d') == 's = "//"; c = \'"\';  d'
+    assert bare("/* open") == "/* open" and bare("") == "" and bare("/**/x/*/") == "x/*/" and bare('"\\"//" // c') == '"\\"//" '
+    assert bare("'" + "\\x" * 50_000 + "'//" + "'" * 3) == "'" + "\\x" * 50_000 + "'" and bare("/" * 9) == ""
+    assert spark.sql("select cast(null as string) t").select(text.comment_free(F.col("t"))).collect()[0][0] is None
     assert value(text.normalize_ws(F.col("c0")), "  a \t b\n") == "a b"
     assert value(text.safe_decode(F.col("c0")), bytearray(b"\xe1")) == "á" and value(text.safe_decode(F.col("c0")), bytearray(b"\xc3\xa1")) == "á"
     assert value(text.fold_path(F.col("c0")), "a/./b/../../c//d/..") == "c" and value(text.fold_path(F.col("c0")), "../a") == "../a"
@@ -208,7 +211,7 @@ def test_source_rows(spark):
 
 def test_reports(spark):
     t = spark.createDataFrame([("a", 1.0, 3.0), ("b", None, 0.0)], "f string, parse double, commit double")
-    assert rows(report.stage_report(t, ["parse", "commit"])) == [("commit", 3.0, 75.0, "3000.00 ms", "high"), ("parse", 1.0, 25.0, "1000.00 ms", "medium")]
+    assert rows(report.stage_report(t, ["parse", "commit"])) == [("commit", 3.0, 75.0, " 3.00s", "high"), ("parse", 1.0, 25.0, " 1.00s", "medium")]
     assert rows(report.aligned(t, ["f", "parse"])) == [("a  1.0  ",), ("b       ",)]
     assert spark.createDataFrame([("the quick brown fox",)], ["t"]).select(text.wrapped("t", F.lit(10))).collect()[0][0] == ["the quick", "brown fox"]
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from treeloom.functions.text import milliseconds, share_level
+from treeloom.functions.text import duration, share_level
 
 
 def share_of_total(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -32,7 +32,7 @@ def stage_report(timings: DataFrame, stages: list[str]) -> DataFrame:
     """(stage, seconds, pct, shown, level) of stage columns of a timing table (one row per file); nulls count as 0."""
     rows = timings.select(F.explode(F.array(*(F.struct(F.lit(s).alias("stage"), F.coalesce(F.col(s), F.lit(0.0)).cast("double").alias("s")) for s in stages))).alias("x")).select("x.*")
     r = share_of_total(rows, "stage", "s").withColumnRenamed("total", "seconds")
-    return r.select("stage", "seconds", "pct", milliseconds(F.col("seconds")).alias("shown"), share_level(F.col("pct")).alias("level"))
+    return r.select("stage", "seconds", "pct", duration(F.col("seconds")).alias("shown"), share_level(F.col("pct")).alias("level"))
 
 
 def roll_up(results: DataFrame, group: list[str], passed: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import textwrap
 
 import pandas as pd
@@ -95,20 +94,19 @@ def declared_type(type_id: Column, form: int) -> Column:
     return (type_id + form).cast("int")
 
 
-_COMMENT = re.compile(r"""//[^\n]*|/\*.*?\*/|'(?:\\.|[^\\'])*'|"(?:\\.|[^\\"])*\"""", re.DOTALL)
+#: A piece of C text: a comment that is closed, a literal that is closed (with its escapes), a run of other text, or one
+#: character that opens nothing. The loops are possessive, so they take no stack however long a literal is.
+_PIECE = r"""(?s)/(?:/[^\n]*+|\*.*?\*/)|(["'])(?:(?!\1)[^\\]|\\.)*+\1|[^/"']++|."""
 
 
-def strip_comments(text: str | None) -> str | None:
-    """C comments removed, their line ends kept; comment signs in strings and character constants stay."""
-    if text is None:
-        return None
-    return _COMMENT.sub(lambda m: "\n" * m[0].count("\n") if m[0][0] == "/" else m[0], text)
+def comment_free(text: Column) -> Column:
+    """C comments removed, their line ends kept; comment signs in strings and character constants stay.
 
-
-@F.pandas_udf(StringType())
-def comment_free(text: pd.Series) -> pd.Series:
-    """Vectorised :func:`strip_comments`; a regular expression alone cannot keep the line ends."""
-    return text.map(strip_comments, na_action="ignore")
+    A comment or literal that is not closed is plain text. Null stays null, an empty text stays empty.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(_PIECE), 0)  # only comments begin with a slash and go on
+    kept = F.transform(pieces, lambda x: F.when(x.startswith("/") & (F.length(x) > 1), F.regexp_replace(x, "[^\n]+", "")).otherwise(x))
+    return F.array_join(kept, "")
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -133,8 +131,10 @@ def listed(items: Column) -> Column:
     return F.when(n == 0, "").when(n == 1, items[0]).otherwise(many)
 
 
-def milliseconds(seconds: Column) -> Column:
-    return F.concat(F.format_string("%.2f", seconds * 1000), F.lit(" ms"))
+def duration(seconds: Column) -> Column:
+    """Seconds from 1 on, else milliseconds, with one decimal from 10 on and two below; numbers are at least five wide."""
+    ms = seconds * 1000
+    return F.when(ms >= 1000, F.format_string("%5.2fs", seconds)).when(ms >= 10, F.format_string("%5.1fms", ms)).otherwise(F.format_string("%5.2fms", ms))
 
 
 def share_level(percent: Column) -> Column:

@@ -687,10 +687,10 @@ def join_continued(spark, d):
     return table(spark, d, "documents").select("doc_id", text.joined_lines(F.col("text")).alias("t"))
 
 
-@query(r"""select doc_id, array_to_string(list_transform(regexp_extract_all(text, '(?s)//[^\n]*|/\*.*?\*/|''(?:\\.|[^\\''])*''|"(?:\\.|[^\\"])*"|[^/''"]+|.'),
-  lambda x: case when starts_with(x, '//') or (starts_with(x, '/*') and length(x) > 3) then regexp_replace(x, '[^\n]', '', 'g') else x end), '') t from documents""")
+@query(r"""select doc_id, array_to_string(list_transform(regexp_extract_all(text, '(?s)[^/"'']+|"(?:[^"\\]|\\.)*"|''(?:[^''\\]|\\.)*''|/\*.*?\*/|//[^\n]*|.'),
+  lambda x: case when x[1] = '/' and length(x) > 1 then regexp_replace(x, '[^\n]', '', 'g') else x end), '') t from documents""")
 def comment_strip(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.comment_free("text").alias("t"))
+    return table(spark, d, "documents").select("doc_id", text.comment_free(F.col("text")).alias("t"))
 
 
 @query(r"select doc_id, line, 'ifdef' word, regexp_extract(code, '^#ifdef[ \t]+([A-Za-z_][A-Za-z_0-9]*)', 1) as name from (select doc_id, cast(line as int) line, code from " + _LINE_ROWS + r") where regexp_matches(code, '^#ifdef[ \t]+[A-Za-z_]')")
