@@ -51,3 +51,13 @@ def test_boundaries_are_those_of_the_whole_text():
 def test_no_documents(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert T.encode(df, "doc_id", "text", PATH).count() == 0
+
+
+def test_null_and_repeated_keys_of_long_texts(spark):
+    long, longer = "one two, three. " * 30, "four " * 200
+    for kind, keys in (("long", [None, None, 7, 7, 7]), ("string", [None, None, "k", "k", "k"])):
+        df = spark.createDataFrame(list(zip(keys, [long, longer, long, longer, "short"], strict=True)), f"key {kind}, body string")
+        enc = T.load(PATH)
+        want = sorted(((k, enc.encode_ordinary(t)) for k, t in zip(keys, [long, longer, long, longer, "short"], strict=True)), key=repr)
+        got = T.encode(df, "key", "body", PATH, long_chars=100, chunk=64, overlap=16).collect()
+        assert sorted(((r[0], list(r[1])) for r in got), key=repr) == want

@@ -13,12 +13,14 @@ from __future__ import annotations
 
 import base64
 import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from treeloom.runtime import materialize
@@ -89,14 +91,18 @@ def boundaries(text: str, start: int, end: int) -> list[int]:
     return found
 
 
-def _cut(chunk: int, overlap: int):
+def _cut(chunk: int, overlap: int, kind: pa.DataType):
+    """Chunks of each text under an id of their own: keys may be null or come twice. A restarted task makes new ids, all of them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                n = max(1, -(-len(text) // chunk))
+                n, uid = max(1, -(-len(text) // chunk)), uuid.uuid4().hex
                 for i in range(n):
                     part = text[i * chunk : (i + 1) * chunk + (overlap if i + 1 < n else 0)]
-                    yield pa.RecordBatch.from_pydict({"doc": pa.array([doc], pa.int64()), "i": pa.array([i], pa.int32()), "last": pa.array([i + 1 == n]), "part": pa.array([part])})
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([uid]), pa.array([doc], kind), pa.array([i], pa.int32()), pa.array([i + 1 == n]), pa.array([part])], names=["uid", "doc", "i", "last", "part"]
+                    )
 
     return run
 
@@ -111,14 +117,14 @@ def _presplit(chunk: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             left, right, sure = [], [], []
-            for last, part in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for last, part in zip(b.column("last").to_pylist(), b.column("part").to_pylist(), strict=True):
                 # A piece must not end in white space: what a run of it matches depends on what follows.
                 cuts = [x for x in boundaries(part, 0, chunk + overlap) if x == 0 or not _space(part[x - 1])]
                 left.append([x for x in cuts if x <= overlap])
                 sure.append(next((x for x in left[-1] if 0 < x and _space(part[x])), None))
                 right.append([] if last else [x - chunk for x in cuts if x >= chunk])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), pa.array(left, pa.list_(pa.int32())), pa.array(right, pa.list_(pa.int32())), pa.array(sure, pa.int32())], names=["doc", "i", "last", "head", "tail", "sure"]
+                [b.column("uid"), b.column("i"), b.column("last"), pa.array(left, pa.list_(pa.int32())), pa.array(right, pa.list_(pa.int32())), pa.array(sure, pa.int32())], names=["uid", "i", "last", "head", "tail", "sure"]
             )
 
     return run
@@ -146,29 +152,30 @@ def _ids(path: str, count_only: bool):
 
 
 def _pieces(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
-    """(doc, piece, text): the long texts, cut only at boundaries of pre-tokens."""
-    chunks = long.mapInArrow(_cut(chunk, overlap), "doc long, i int, last boolean, part string").repartition("doc", "i")
-    zones = chunks.mapInArrow(_presplit(chunk, overlap), "doc long, i int, last boolean, head array<int>, tail array<int>, sure int")
-    zones = materialize(zones, "zones")  # read twice
-    before = zones.filter("not last").select("doc", (F.col("i") + 1).alias("i"), "tail")
+    """(doc, text, uid, piece): the long texts, cut only at boundaries of pre-tokens; uid is one for each row of ``long``."""
+    kind = long.select("doc").schema[0].dataType
+    cut = long.mapInArrow(_cut(chunk, overlap, to_arrow_type(kind)), f"uid string, doc {kind.simpleString()}, i int, last boolean, part string")
+    chunks = materialize(cut.repartition("uid", "i"), "chunks")  # stored: the ids are made once, the texts are read and cut once
+    zones = materialize(chunks.mapInArrow(_presplit(chunk, overlap), "uid string, i int, last boolean, head array<int>, tail array<int>, sure int"), "zones")
+    before = zones.filter("not last").select("uid", (F.col("i") + 1).alias("i"), "tail")
     common = F.array_min(F.array_intersect("head", "tail"))
-    met = zones.select("doc", "i", "head", "sure").join(before, ["doc", "i"], "left").select("doc", "i", F.when(F.col("i") == 0, F.lit(0)).otherwise(common).alias("met"), "sure")
-    w = Window.partitionBy("doc").orderBy("i")  # one small row per chunk, no text
+    met = zones.select("uid", "i", "head", "sure").join(before, ["uid", "i"], "left").select("uid", "i", F.when(F.col("i") == 0, F.lit(0)).otherwise(common).alias("met"), "sure")
+    w = Window.partitionBy("uid").orderBy("i")  # one small row per chunk, no text
     # A chunk that does not meet the one before has unproved boundaries, and so have those after it that only meet each
     # other, up to a boundary that is sure by itself.
     lost = F.coalesce(F.max(F.when(F.col("met").isNull(), F.col("i"))).over(w), F.lit(-1))
     found = F.coalesce(F.max(F.when(F.col("sure").isNotNull(), F.col("i"))).over(w), F.lit(-1))
-    proved = met.select("doc", "i", "met", "sure", (lost < 0) | (found >= lost)).toDF("doc", "i", "met", "sure", "proved")
+    proved = met.select("uid", "i", "met", "sure", (lost < 0) | (found >= lost)).toDF("uid", "i", "met", "sure", "proved")
     follows = F.lag("proved", 1, True).over(w) & F.col("met").isNotNull()
-    sync = proved.select("doc", "i", F.when(F.col("proved"), F.when(follows, F.col("met")).otherwise(F.col("sure"))).alias("sync"))
+    sync = proved.select("uid", "i", F.when(F.col("proved"), F.when(follows, F.col("met")).otherwise(F.col("sure"))).alias("sync"))
     sync = sync.select(
-        "doc", "i", F.coalesce("sync", F.lit(0)).alias("from"), F.coalesce(F.lead("sync").over(w), F.lit(0)).alias("more"),
+        "uid", "i", F.coalesce("sync", F.lit(0)).alias("from"), F.coalesce(F.lead("sync").over(w), F.lit(0)).alias("more"),
         F.last(F.when(F.col("sync").isNotNull(), F.col("i")), True).over(w).alias("piece"),
     )
     own = F.when(F.col("last"), F.expr("substring(part, `from` + 1)")).otherwise(F.expr(f"substring(part, `from` + 1, {chunk} + more - `from`)"))
-    parts = chunks.join(sync, ["doc", "i"]).select("doc", "piece", F.struct("i", own.alias("t")).alias("part"))
+    parts = chunks.join(sync, ["uid", "i"]).select("uid", "doc", "piece", F.struct("i", own.alias("t")).alias("part"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda x: x["t"]), "")
-    return parts.groupBy("doc", "piece").agg(joined.alias("text")).select("doc", "text", "piece")
+    return parts.groupBy("uid", "piece").agg(F.first("doc").alias("doc"), joined.alias("text")).select("doc", "text", "uid", "piece")
 
 
 def encode(
@@ -177,17 +184,16 @@ def encode(
 ) -> DataFrame:
     """(doc, ids) of every row: ids a list of ints, or with ``count_only`` their number (long).
 
-    ``key`` must be unique among long texts (they are put together by it). ``long_chars`` only says which way a text
-    takes; both give the same ids.
+    ``key`` may be of any simple type, null or repeated: each row gives one row. ``long_chars`` only says which way a
+    text takes; both give the same ids.
     """
     rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
     is_long = F.coalesce(F.length("text") > long_chars, F.lit(False))
-    kind = "long" if count_only else "array<int>"
-    short = rows.filter(~is_long).mapInArrow(_ids(path, count_only), f"doc long, ids {kind}")
-    pieces = _pieces(rows.filter(is_long), chunk, overlap).mapInArrow(_ids(path, count_only), f"doc long, ids {kind}, piece int")
+    of_key, kind = dict(rows.dtypes)["doc"], "long" if count_only else "array<int>"
+    short = rows.filter(~is_long).mapInArrow(_ids(path, count_only), f"doc {of_key}, ids {kind}")
+    pieces = _pieces(rows.filter(is_long), chunk, overlap).mapInArrow(_ids(path, count_only), f"doc {of_key}, ids {kind}, uid string, piece int")
     if count_only:
-        whole = pieces.groupBy("doc").agg(F.sum("ids").alias("ids"))
+        whole = F.sum("ids")
     else:
-        in_order = F.transform(F.array_sort(F.collect_list(F.struct("piece", "ids"))), lambda x: x["ids"])
-        whole = pieces.groupBy("doc").agg(F.flatten(in_order).alias("ids"))
-    return short.unionAll(whole)
+        whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("piece", "ids"))), lambda x: x["ids"]))
+    return short.unionAll(pieces.groupBy("uid").agg(F.first("doc").alias("doc"), whole.alias("ids")).select("doc", "ids"))
