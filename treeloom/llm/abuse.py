@@ -1,20 +1,32 @@
 """Abusive, hateful or sexual content: class-conditional Kneser-Ney models over segments of a text.
 
 A text is cut into segments (lines, sentences, comments, quoted strings). Two trigram Kneser-Ney models, one of toxic
-and one of ordinary segments, give a segment its log-likelihood ratio; both end in the same unigram continuation counts,
-so a rare or unknown word says nothing by itself and only its known surroundings count. A text is a case if one of its
-segments has a ratio above ``MIN_TOTAL`` in total and above ``MIN_MEAN`` per token (length-normalised).
-
-Labels are given per document and some are wrong, so it has to be found out which segments of a bad document are meant:
-starting from all of them, segments stay toxic only if the models, without this document's own counts (leave one out),
-give them a high ratio; all others become ordinary. A segment of a fine document with a high ratio is a wrong label and
-is left out. A few rounds settle.
+and one of ordinary words, give each word its log-likelihood ratio; both end in the same unigram continuation counts,
+so a rare or unknown word says nothing by itself and only its known surroundings count. What counts in a segment is its
+best span: the words in a row whose ratios, each less ``MEAN``, add up to most. So the likelihoods are normalised by
+length (a span needs a mean above ``MEAN``), and harmless words around abuse do not dilute it, however many there are.
+
+Labels are given per document and some are wrong, so it has to be found out which words of a bad document are meant:
+starting from all of them, a span stays toxic only if the models, without this document's own counts (leave one out),
+give it a high sum; all other words become ordinary. A span of a fine document with a high sum is a wrong label and is
+left out. A few rounds settle.
+
+A phrase that few labels happen to call bad is told from abuse by the whole corpus: of the documents with a toxic
+trigram (or bigram, or context, where the model backs off) a certain share is labelled bad. One whose share is far below
+that, by a Poisson test, has at most the ratio of the two shares, and what is left of a span right beside such words
+counts only if it is more than they have lost. So harmless phrases that are common in the corpus do not count, however
+few labels there are.
+
+The sum from which on a span is a case is the one of ``LIMITS`` with the greatest r * r / n (Lee and Liu's measure for
+positive and unlabelled data): r is the share of texts labelled bad that models of the other half of the texts find,
+less the share of those labelled fine that they find, n the number of documents found in the corpus.
 
 Disguises are undone before counting: format characters, accents, mixed alphabets, digits for letters, letters spaced
-out or repeated, and one letter of a word hidden or replaced, if that leads to a word of the labelled sample.
+out or repeated, and one letter of a word hidden or replaced, if that leads to a word of the labelled sample. A line
+with words joined by ``_`` or ``/`` is read once more with the words apart.
 
 The models are trained on a bounded sample of labelled documents (``MAX_DOCS``, ``MAX_CHARS``, in order of a hash of the
-id), in one task; every text of the corpus is scored whole.
+id), in one task; every text of the corpus is scored whole, and the shares are those of the whole corpus.
 """
 
 from __future__ import annotations
@@ -22,26 +34,39 @@ from __future__ import annotations
 import pickle
 import re
 import unicodedata
-from collections import Counter, defaultdict
+import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from treeloom.runtime import materialize
 
 MAX_DOCS = 20_000
 MAX_CHARS = 48_000_000
-MIN_TOTAL = 5.0
-MIN_MEAN = 0.5
-#: Ratio that makes a segment toxic in each round of training: strict first, while the toxic model is still mixed.
-ROUNDS = (8.0, 7.0, 6.0, 6.0)
-TRAIN_MEAN = 0.6
+#: What each word of a span costs: the mean ratio a span needs at least.
+MEAN = 0.4
+#: The same in training.
+TRAIN_MEAN = 0.2
+#: The most one word adds, so that no word alone is a case.
+MOST = 3.0
+#: Sums from which on a span may be a case; one of them is chosen.
+LIMITS = (4.0, 5.0, 6.0, 7.0, 8.0, 10.0)
+#: Sum that makes a span toxic in each round of training: strict first, while the toxic model is still mixed.
+ROUNDS = (7.0, 6.0, 5.0, 5.0)
+#: Chance, under the usual share of bad labels, of as few as a trigram has: below it the trigram is no sign of abuse.
+RARE = 1e-3
+#: Words on each side of a span that stand right beside it.
+BESIDE = 3
 DISCOUNT = 0.75
 #: Strength of the lower order besides the discount: a context seen two or three times proves little.
 STRENGTH = 3.0
 CACHE = 300_000
+#: Words in the vocabulary from which on those of a single document are left out of it: three ids must fit into 64 bits.
+MAX_WORDS = 2_000_000
 
 UNKNOWN, EDGE = 0, 1
 #: Letters of other alphabets that look like Latin ones, and signs used for letters.
@@ -57,14 +82,21 @@ _BROKEN = re.compile(r"[\u00c2-\u00f4][\u0080-\u00bf\u0152-\u0178\u0192\u02c6-\u
 _REPEAT = re.compile(r"([^\W\d_])\1{2,}")
 _CJK = re.compile(r"[⺀-鿿가-힯ｦ-ﾟ]")
 _OPENS = re.compile(r"""^[\"“”„«(\[*]*(?:[\"“”„«]|/\*|//|#|--|>)|^[>*#;]+$""")
-_CLOSES = re.compile(r"""[.!?;:。！？\"”»]+[)\]]*$|\*/$""")
+#: Signs that end a segment, closing brackets after them aside.
+_CLOSERS = frozenset('.!?;:。！？"”»')
+_JOINS = re.compile(r"[_/]+")
 
 
 class Reader:
-    """Turns text into word ids; id 1 marks both edges of a segment. Without a vocabulary it gives words."""
+    """Turns text into word ids; id 1 marks both edges of a segment. Without a vocabulary it gives words.
 
-    def __init__(self, words: dict[str, int] | None = None, hidden: dict[str, str] | None = None) -> None:
-        self.words, self.hidden, self.cache = words, hidden or {}, {}
+    With ``apart`` a line with joined words comes a second time with the words apart. Training goes without: the second
+    line would outlive the leave-one-out of the first.
+    """
+
+    def __init__(self, words: dict[str, int] | None = None, hidden: dict[str, str] | None = None, apart: bool = False) -> None:
+        self.words, self.hidden, self.apart, self.cache = words, hidden or {}, apart, {}
+        self.longest = max(map(len, self.hidden), default=0)  # longer words can't be one with a letter hidden
 
     def known(self, w: str) -> bool:
         return self.words is not None and w in self.words
@@ -74,15 +106,15 @@ class Reader:
         if _NUMBER.fullmatch(w) and not (w.isalpha()):
             return "<n>"
         if w.isalpha():
-            if self.words is None or w in self.words or not 4 <= len(w) <= 64:
-                return w if len(w) <= 64 else _REPEAT.sub(r"\1", w)[:64]
+            if self.words is None or w in self.words or len(w) < 4:
+                return w
             squeezed = _REPEAT.sub(r"\1", w)
             if squeezed != w:
                 return self.resolve(squeezed)
             latin = w.translate(LOOKALIKE)
             if latin != w:
                 return self.resolve(latin)
-            for i in range(len(w)):
+            for i in range(len(w) if len(w) <= self.longest else 0):
                 if found := self.hidden.get(f"{w[:i]}*{w[i + 1:]}"):
                     return found
             return w
@@ -100,8 +132,8 @@ class Reader:
                 return found
         return "<x>"
 
-    def chunk(self, raw: str) -> tuple:
-        """Tokens of what stands between two spaces, with the edges it brings."""
+    def chunk(self, raw: str) -> tuple[tuple, tuple]:
+        """Tokens of what stands between two spaces, with the edges it brings, and those with joined words apart (or nothing)."""
         s = raw
         if not s.isascii():
             if _BROKEN.search(s):
@@ -109,24 +141,31 @@ class Reader:
             s = unicodedata.normalize("NFKD", s)
             s = "".join(c for c in s if unicodedata.category(c) not in ("Cf", "Mn", "Cc"))
         s = s.lower()
-        out = [EDGE] if _OPENS.match(s) else []
+        apart: list = []
         if _CJK.search(s):
+            out = []
             for part in re.findall(r"[⺀-鿿가-힯ｦ-ﾟ]|[a-z0-9_/.]+|[。！？]", s):
                 if part in "。！？":
                     out.append(EDGE)
                 else:
                     out.append(part if _CJK.match(part) else "<x>")
         elif "/" in s and re.search(r"\w/\w", s):
-            out.append("<p>")
+            out = ["<p>"]
+            apart = [self.resolve(w) for w in _CORE.findall(_JOINS.sub(" ", s))]
         else:
-            for w in _CORE.findall(s):
-                out.append("<i>" if "_" in w else self.resolve(w))
-        if _CLOSES.search(s):
-            out.append(EDGE)
-        if self.words is not None:
-            get = self.words.get
-            out = [x if x == EDGE else get(x, UNKNOWN) for x in out]
-        return tuple(out)
+            found = _CORE.findall(s)
+            out = ["<i>" if "_" in w else self.resolve(w) for w in found]
+            if "<i>" in out:
+                apart = [self.resolve(w) for w in _CORE.findall(_JOINS.sub(" ", s))]
+        before = [EDGE] if _OPENS.match(s) else []
+        after = [EDGE] if s.endswith("*/") or s.rstrip(")]")[-1:] in _CLOSERS else []
+        return tuple(self._ids(before + out + after)), tuple(self._ids(before + apart + after)) if apart else ()
+
+    def _ids(self, out: list) -> list:
+        if self.words is None:
+            return out
+        get = self.words.get
+        return [x if x == EDGE else get(x, UNKNOWN) for x in out]
 
     def read(self, text: str, out: list) -> None:
         """Append the ids of a text to ``out``, each line framed by edges."""
@@ -137,16 +176,22 @@ class Reader:
         for line in text.splitlines():
             if _SPACED.search(line):
                 line = _SPACED.sub(lambda m: _GAPS.sub("", m[0]), line)
-            for raw in line.split():
-                ids = cache.get(raw)
-                if ids is None:
-                    ids = cache[raw] = self.chunk(raw) if len(raw) < 4096 else self._long(raw)
-                extend(ids)
+            joined = False
+            raws = line.split()
+            for raw in raws:
+                got = cache.get(raw)
+                if got is None:
+                    got = self.chunk(raw)
+                    if len(raw) <= 256:  # longer ones hardly come twice
+                        cache[raw] = got
+                extend(got[0])
+                joined = joined or len(got[1]) > 0
             append(EDGE)
-
-    def _long(self, raw: str) -> tuple:
-        """A chunk of many thousand characters, in steps (its tokens may be cut there)."""
-        return tuple(x for i in range(0, len(raw), 2048) for x in self.chunk(raw[i : i + 2048]))
+            if joined and self.apart:
+                for raw in raws:
+                    got = cache.get(raw) or self.chunk(raw)
+                    extend(got[1] or got[0])
+                append(EDGE)
 
 
 def _repaired(s: str) -> str:
@@ -181,9 +226,9 @@ class _Counts:
         flat = np.fromiter((x for t in types for x in (*t, EDGE)), np.int64)
         lengths = np.fromiter((len(t) + 1 for t in types), np.int64, len(types))
         self.of = np.repeat(np.arange(len(types)), lengths)
-        self.lengths = lengths
+        self.start = np.r_[0, np.cumsum(lengths)[:-1]]
         first = np.zeros(len(flat), bool)
-        first[np.r_[0, np.cumsum(lengths)[:-1]]] = True
+        first[self.start] = True
         second = np.r_[False, first[:-1]] & ~first
         v = np.where(first, EDGE, np.r_[EDGE, flat[:-1]])
         u = np.where(first | second, EDGE, np.r_[EDGE, EDGE, flat[:-2]])
@@ -196,7 +241,8 @@ class _Counts:
         self.bi_word = self.bi_keys % size
 
     def fit(self, weight: np.ndarray) -> dict[str, np.ndarray]:
-        n3 = np.bincount(self.tri, weight[self.of], len(self.tri_keys))
+        """Counts of one class; ``weight`` of each word of each segment type."""
+        n3 = np.bincount(self.tri, weight, len(self.tri_keys))
         seen = (n3 > 0).astype(float)
         n2 = np.bincount(self.tri_bi, seen, len(self.bi_keys))  # continuation counts
         return {
@@ -220,12 +266,32 @@ class _Counts:
         n3, c3, f3 = np.maximum(f["n3"] - minus, 0), f["c3"][self.tri_ctx] - minus, f["f3"][self.tri_ctx] - gone
         return np.where(c3 > 0, (np.maximum(n3 - DISCOUNT, 0) + (DISCOUNT * np.maximum(f3, 1) + STRENGTH) * p2) / (np.maximum(c3, 1) + STRENGTH), p2)
 
-    def total(self, ratio: np.ndarray) -> np.ndarray:
-        return np.bincount(self.of, ratio[self.tri], len(self.lengths))
-
 
-def train(texts: Iterable[tuple[str, bool]]) -> dict:
-    """The model as plain arrays, from (text, labelled bad) pairs. No bad or no fine text: no case is ever found."""
+def best_spans(ratio: np.ndarray, start: np.ndarray, most: float = np.inf, mean: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each segment the greatest sum of ratios (at most ``most`` each) less MEAN over words in a row, and the first and last place of that span."""
+    n = len(ratio)
+    segment = np.zeros(n, np.int64)
+    segment[start[1:]] = 1
+    segment = np.cumsum(segment)
+    upto = np.cumsum(np.minimum(ratio.astype(np.float64), most) - (MEAN if mean is None else mean))
+    before = np.r_[0.0, upto[:-1]]
+    shift = segment * (np.ptp(before) + 1.0)  # makes a running minimum begin anew in each segment
+    shifted = before - shift
+    low = np.minimum.accumulate(shifted)
+    at = np.maximum.accumulate(np.where(shifted <= low, np.arange(n), 0))
+    gain = upto - (low + shift)
+    best = np.maximum.reduceat(gain, start)
+    last = np.full(len(start), n, np.int64)
+    top = np.flatnonzero(gain >= best[segment])
+    np.minimum.at(last, segment[top], top)
+    return best, at[last], last
+
+
+def train(texts: Iterable[tuple[str, bool]], hold_out: bool = True) -> dict:
+    """The model as plain arrays, from (text, labelled bad) pairs. No bad or no fine text: no case is ever found.
+
+    With ``hold_out`` it has the sums of the texts by models of the other half of the texts (``held``: bad, then fine ones).
+    """
     votes: Counter = Counter()
     for t, bad in texts:
         if t:
@@ -238,14 +304,18 @@ def train(texts: Iterable[tuple[str, bool]]) -> dict:
         plain.read(t, out)
         seen[bad].update({x for x in out if x != EDGE})
     docs = {b: max(1, sum(bad == b for _, bad in texts)) for b in (True, False)}
-    vocabulary = ["<unknown>", "<edge>", *sorted(set(seen[True]) | set(seen[False]))]
+    every = set(seen[True]) | set(seen[False])
+    if len(every) > MAX_WORDS:
+        every = {w for w in every if seen[True][w] + seen[False][w] > 1}
+    vocabulary = ["<unknown>", "<edge>", *sorted(every)]
     words = {w: i for i, w in enumerate(vocabulary) if i != UNKNOWN}
     hidden: dict[str, str] = {}
     telling = [w for w, n in seen[True].items() if len(w) >= 4 and w.isalpha() and n >= 2 and n / docs[True] > 4 * seen[False][w] / docs[False]]
     for w in sorted(telling, key=lambda w: (seen[True][w], w)):
         for i in range(len(w)):
             hidden[f"{w[:i]}*{w[i + 1:]}"] = w
-    rare = {w for w in words if seen[True][w] + seen[False][w] == 1 and w.isalpha() and len(w) >= 4}
+    longest = max(map(len, hidden), default=0)
+    rare = {w for w in words if seen[True][w] + seen[False][w] == 1 and w.isalpha() and 4 <= len(w) <= longest}
     reader = Reader({w: i for w, i in words.items() if w not in rare} | {w: i for w, i in words.items() if w in rare and not _near(w, hidden)}, hidden)
 
     n_bad: Counter = Counter()
@@ -255,28 +325,40 @@ def train(texts: Iterable[tuple[str, bool]]) -> dict:
         reader.read(t, out)
         (n_bad if bad else n_fine).update(set(segments(out)))
     types = sorted(set(n_bad) | set(n_fine))
-    model = {"words": reader.words, "hidden": hidden, "size": len(vocabulary)}
+    model = {"words": reader.words, "hidden": hidden, "size": len(vocabulary), "held": (np.zeros(0), np.zeros(0))}
     if not n_bad or not n_fine:
         return model | {"tri": (np.zeros(0, np.int64), np.zeros(0)), "ctx": (np.zeros(0, np.int64), np.zeros(0)), "bi": (np.zeros(0, np.int64), np.zeros(0)), "mid": np.zeros(len(vocabulary))}
-    nb = np.array([n_bad[t] for t in types], float)
-    nf = np.array([n_fine[t] for t in types], float)
     c = _Counts(types, len(vocabulary))
+    nb = np.array([n_bad[t] for t in types], float)[c.of]
+    nf = np.array([n_fine[t] for t in types], float)[c.of]
     toxic, ordinary = nb.copy(), nf.copy()
+    place = np.arange(len(c.of))
+
+    def inside(ratio: np.ndarray, least: float) -> np.ndarray:
+        best, lo, hi = best_spans(ratio, c.start, mean=TRAIN_MEAN)
+        return (best > least)[c.of] & (place >= lo[c.of]) & (place <= hi[c.of])
+
     for least in ROUNDS:
         t, o = c.fit(toxic), c.fit(ordinary)
         u = c.shared(t, o)
-        pt, po = np.log(c.probability(t, u)), np.log(c.probability(o, u))
-        pt1, po1 = np.log(c.probability(t, u, 1.0)), np.log(c.probability(o, u, 1.0))
-        in_bad = np.where(toxic > 0, c.total(pt1 - po), c.total(pt - po1))
-        in_fine = np.where(ordinary > 0, c.total(pt - po1), c.total(pt - po))
+        pt, po = np.log(c.probability(t, u))[c.tri], np.log(c.probability(o, u))[c.tri]
+        pt1, po1 = np.log(c.probability(t, u, 1.0))[c.tri], np.log(c.probability(o, u, 1.0))[c.tri]
+        in_bad = inside(np.where(toxic > 0, pt1 - po, pt - po1), least)
+        in_fine = inside(np.where(ordinary > 0, pt - po1, pt - po), least)
+        toxic = np.where(in_bad, nb, 0.0)
+        ordinary = np.where(in_fine, 0.0, nf) + np.where(in_bad, 0.0, nb)
+    t, o = c.fit(toxic), c.fit(ordinary)
+    return model | {"held": _held_out(texts) if hold_out else None} | _tables(c, t, o)
 
-        def is_toxic(x, least=least):
-            return (x > least) & (x > TRAIN_MEAN * c.lengths)
 
-        toxic = np.where(is_toxic(in_bad), nb, 0.0)
-        ordinary = np.where(is_toxic(in_fine), 0.0, nf) + np.where(toxic > 0, 0.0, nb)
-    t, o = c.fit(toxic), c.fit(ordinary)
-    return model | _tables(c, t, o)
+def _held_out(texts: list[tuple[str, bool]]) -> tuple[np.ndarray, np.ndarray]:
+    fold = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) & 1 for t, _ in texts])
+    bad = np.array([b for _, b in texts])
+    value = np.zeros(len(texts))
+    for f in (0, 1):
+        scorer = Scorer(train([texts[i] for i in np.flatnonzero(fold != f)], hold_out=False))
+        value[fold == f] = scorer.score([texts[i][0] for i in np.flatnonzero(fold == f)])
+    return value[bad], value[~bad]
 
 
 def _near(w: str, hidden: dict[str, str]) -> bool:
@@ -350,72 +432,118 @@ class _Lookup:
 
 
 class Scorer:
-    """Scores texts with a model of :func:`train`."""
+    """Scores texts with a model of :func:`train`, and with the ``caps`` of :func:`caps_of` where there are any."""
 
-    def __init__(self, model: dict) -> None:
-        self.reader = Reader(model["words"], model["hidden"])
+    def __init__(self, model: dict, caps: dict[int, tuple[np.ndarray, np.ndarray]] | None = None) -> None:
+        self.reader = Reader(model["words"], model["hidden"], True)
         self.size = np.int64(model["size"])
         self.tri, self.ctx, self.bi = (_Lookup(*model[k]) for k in ("tri", "ctx", "bi"))
         self.mid = model["mid"].astype(np.float32)
+        self.caps = {k: _Lookup(*v) for k, v in (caps or {}).items() if len(v[0])}
 
-    def ratios(self, ids: np.ndarray) -> np.ndarray:
-        """Log ratio of each id, given the two before; edges cut."""
+    def ratios(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ratio, kind, key): log ratio of each id, given the two before (edges cut), and what of the model it comes from."""
         v = np.r_[EDGE, ids[:-1]]
-        u = np.where(v == EDGE, EDGE, np.r_[EDGE, EDGE, ids[:-2]])
+        u = np.where(v == EDGE, EDGE, np.r_[EDGE, v[:-1]])
         ctx = u * self.size + v
-        value, known = self.tri.get(ctx * self.size + ids)
+        key = ctx * self.size + ids
+        kind = np.zeros(len(ids), np.int8)
+        value, known = self.tri.get(key)
         rest = np.flatnonzero(~known)
         if len(rest):
-            low, seen = self.bi.get(v[rest] * self.size + ids[rest])
+            pair = v[rest] * self.size + ids[rest]
+            low, seen = self.bi.get(pair)
             value[rest] = self.ctx.get(ctx[rest])[0] + np.where(seen, low, self.mid[v[rest]])
-        return value
-
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        """For each text the greatest, over its segments, of min(total / MIN_TOTAL, mean / MIN_MEAN); above 1: a case.
-
-        A segment of one word counts half.
-
-        Null, empty and blank texts have no segment and score -10, the lowest score there is.
-        """
+            kind[rest] = np.where(seen, 1, 2)
+            key[rest] = np.where(seen, pair, v[rest])
+        return value, kind, key
+
+    def _ratios(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ratios as the model has them, and under the caps."""
+        value, kind, key = self.ratios(ids)
+        capped = value.copy()
+        for k, table in self.caps.items():
+            at = np.flatnonzero(kind == k)
+            cap, there = table.get(key[at])
+            capped[at] = np.where(there, np.minimum(value[at], cap), value[at])
+        return value, capped
+
+    def segments(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, doc, sum) of the non-empty segments of all texts: places in ``ids``, number of the text, best span."""
         flat: list = []
         ends = np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
             if t:
                 self.reader.read(t, flat)
             ends[i] = len(flat)
-        out = np.full(len(texts), -10.0)
         if not flat:
-            return out
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         ids = np.array(flat, np.int64)
         doc = np.searchsorted(ends, np.arange(len(ids)), "right")
         keep = np.ones(len(ids), bool)
         keep[1:] = (ids[1:] != EDGE) | (ids[:-1] != EDGE)
         ids, doc = ids[keep], doc[keep]
-        r = self.ratios(ids)
         start = np.flatnonzero(np.r_[True, ids[:-1] == EDGE])  # a segment is what follows an edge, with the edge that ends it
-        total = np.add.reduceat(r, start)
-        length = np.diff(np.r_[start, len(ids)])
+        best = best_spans(self.ratios(ids)[0], start, MOST)[0]
         ok = ids[start] != EDGE
-        s = np.minimum(total / MIN_TOTAL, total / length / MIN_MEAN)
-        s = np.where(length <= 2, s / 2, s)[ok]  # a single word proves less
-        np.maximum.at(out, doc[start[ok]], np.maximum(s, -10.0))
-        return out
+        return ids, start[ok], doc[start[ok]], best[ok]
 
+    def score(self, texts: list[str | None]) -> np.ndarray:
+        """For each text the greatest sum of a best span over its segments.
 
-def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, bad) of the labelled sample: at most MAX_DOCS documents of at most MAX_CHARS characters in all.
+        Null, empty and blank texts have no segment and score -10, the lowest score there is.
+        """
+        out = np.full(len(texts), -10.0)
+        _, _, doc, best = self.segments(texts)
+        np.maximum.at(out, doc, np.maximum(best, -10.0))
+        return out
 
-    Equal label rows count once; null labels and labels of documents that do not exist not at all. A document is bad if
-    it has at least as many bad opinions as others.
+    def candidates(self, texts: list[str | None], least: float) -> tuple[np.ndarray, list[list[list[int]]]]:
+        """For each text the greatest sum up to ``least``, and the distinct segments (ids without edges) above it."""
+        rest = np.full(len(texts), -10.0)
+        ids, start, doc, best = self.segments(texts)
+        high = best > least
+        np.maximum.at(rest, doc[~high], np.maximum(best[~high], -10.0))
+        above: list[dict] = [{} for _ in texts]
+        edges = np.flatnonzero(ids == EDGE)
+        for at, d in zip(start[high], doc[high], strict=True):
+            n = np.searchsorted(edges, at)
+            above[d][tuple(ids[at : edges[n] if n < len(edges) else len(ids)].tolist())] = None
+        return rest, [[list(s) for s in a] for a in above]
+
+    def laid_out(self, segments: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, start) of segments given without edges."""
+        ids = np.array([x for s in segments for x in (*s, EDGE)], np.int64)
+        return ids, np.cumsum([0, *(len(s) + 1 for s in segments)])[:-1].astype(np.int64)
+
+    def corrected(self, segments: list[list[int]]) -> np.ndarray:
+        """The sum of the best span of each segment under the caps, 0 where the caps took more right there than is left."""
+        ids, start = self.laid_out(segments)
+        full, capped = self._ratios(ids)
+        best, lo, hi = best_spans(capped, start, MOST)
+        lost = np.cumsum(np.r_[0.0, np.minimum(full, MOST) - np.minimum(capped, MOST)])
+        end = np.r_[start[1:], len(ids)]
+        near = lost[np.minimum(hi + 1 + BESIDE, end)] - lost[np.maximum(lo - BESIDE, start)]
+        return np.where(near > best, 0.0, best)
+
+
+def chosen(docs: DataFrame, labels: DataFrame) -> list[tuple[int, bool]]:
+    """(doc_id, bad) of the labelled sample: at most MAX_DOCS documents of at most MAX_CHARS characters in all.
+
+    Equal label rows count once; null labels, and labels of documents that do not exist or have no text, not at all. A
+    document is bad if it has at least as many bad opinions as others. Documents come in order of a hash of their id;
+    one that would pass the bound of characters is left out alone. The driver sees at most MAX_DOCS ids and lengths.
     """
-    votes = labels.filter("label is not null and doc_id is not null").distinct().groupBy("doc_id").agg(
-        F.sum(F.when(F.col("label") == "bad", 1).otherwise(-1)).alias("balance")
-    )
-    order = F.xxhash64("doc_id")
-    chosen = votes.select("doc_id", (F.col("balance") >= 0).alias("bad"), order.alias("h")).orderBy("h", "doc_id").limit(MAX_DOCS)
-    found = docs.select("doc_id", "text").filter(F.length("text") > 0).join(F.broadcast(chosen), "doc_id")
-    upto = F.sum(F.length("text")).over(Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))  # MAX_DOCS rows
-    return found.withColumn("upto", upto).filter(F.col("upto") <= MAX_CHARS).select("text", "bad")
+    votes = labels.filter("label is not null and doc_id is not null").select("doc_id", "label", *(c for c in ("reviewer", "labelled_at") if c in labels.columns)).distinct()
+    votes = votes.groupBy("doc_id").agg(F.sum(F.when(F.col("label") == "bad", 1).otherwise(-1)).alias("balance"))
+    first = votes.select("doc_id", (F.col("balance") >= 0).alias("bad"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(MAX_DOCS)
+    lengths = docs.select("doc_id", F.length("text").alias("n")).filter("n > 0").join(F.broadcast(first), "doc_id")
+    taken, room = [], MAX_CHARS
+    for r in lengths.orderBy("h", "doc_id").select("doc_id", "bad", "n").collect():
+        if r["n"] <= room:
+            room -= r["n"]
+            taken.append((r["doc_id"], r["bad"]))
+    return taken
 
 
 def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -423,29 +551,110 @@ def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(train(pairs))], pa.binary())})
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> bytes:
-    """The model, trained in one task on the bounded sample; its size follows from the sample's bound."""
-    rows = sample(docs, labels).coalesce(1).mapInArrow(_train_task, "model binary").collect()
-    return bytes(rows[0][0]) if rows else pickle.dumps(train([]))
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[bytes, list[int]]:
+    """The model, trained in one task on the bounded sample, and the ids of the documents in it that are labelled bad."""
+    ids = chosen(docs, labels)
+    if not ids:
+        return pickle.dumps(train([])), []
+    these = docs.sparkSession.createDataFrame(ids, "doc_id long, bad boolean")
+    rows = docs.select("doc_id", "text").join(F.broadcast(these), "doc_id").select("text", "bad").coalesce(1).mapInArrow(_train_task, "model binary").collect()
+    return bytes(rows[0][0]) if rows else pickle.dumps(train([])), [i for i, bad in ids if bad]
 
 
 _SCORERS: dict[int, Scorer] = {}
 
 
-def scores(docs: DataFrame, model: bytes) -> DataFrame:
-    """(doc_id, source, score) of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    name = hash(model)
+def _scorer(name: int, data: bytes, caps: bytes | None = None) -> Scorer:
+    """One scorer in each Python worker, made anew for another model."""
+    if name not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[name] = Scorer(pickle.loads(data), pickle.loads(caps) if caps else None)
+    return _SCORERS[name]
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[name] = Scorer(pickle.loads(shared.value))
+def _few_bad(bad: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """Poisson chance of at most ``bad`` where ``expected`` are expected."""
+    out = np.ones(len(bad))
+    for i in np.flatnonzero(bad < expected):
+        steps = np.log(expected[i]) - np.log(np.arange(1, int(bad[i]) + 1))
+        out[i] = np.exp(np.r_[0.0, np.cumsum(steps)] - expected[i]).sum()
+    return out
+
+
+def caps_of(kind: np.ndarray, key: np.ndarray, docs: np.ndarray, bad: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """kind: (keys, greatest ratio) of those that too few bad labels support.
+
+    ``docs`` is the number of documents with a key in a candidate span, ``bad`` that of those labelled bad. The usual
+    share of bad labels is that of the keys which are not capped, so it is found in a few rounds.
+    """
+    usual = np.ones(len(key), bool)
+    share = 0.0
+    for _ in range(20):
+        share = bad[usual].sum() / max(1, docs[usual].sum())
+        now = _few_bad(bad, share * docs) >= RARE
+        if (now == usual).all():
+            break
+        usual = now
+    cap = np.log((bad + 0.5) / (share * docs + 0.5))
+    return {k: (key[~usual & (kind == k)], cap[~usual & (kind == k)]) for k in (0, 1, 2)}
+
+
+def scores(docs: DataFrame, model: bytes, bad_ids: list[int]) -> DataFrame:
+    """(doc_id, source, score) of every document; above 1 it is a case. Documents without a segment have -10.
+
+    Texts are read once. What is kept of each is its candidate segments, a small part; the shares of the corpus and the
+    final scores come from them. Corrections only lower scores, so no other segment can become a case.
+    """
+    spark = docs.sparkSession
+    shared, name, least = spark.sparkContext.broadcast(model), hash(model), min(LIMITS)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _scorer(name, shared.value)
         for b in batches:
-            texts = b.column(2).to_pylist()
-            got = np.empty(len(texts))
-            for i in range(0, len(texts), 500):
-                got[i : i + 500] = _SCORERS[name].score(texts[i : i + 500])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got)], names=["doc_id", "source", "score"])
+            for i in range(0, b.num_rows, 500):
+                part = b.slice(i, 500)
+                rest, above = scorer.candidates(part.column(2).to_pylist(), least)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rest), pa.array(above, pa.list_(pa.list_(pa.int32())))], names=["doc_id", "source", "rest", "above"])
+
+    read = materialize(docs.select("doc_id", "source", "text").mapInArrow(first, "doc_id long, source string, rest double, above array<array<int>>"), "segments")
 
-    return docs.select("doc_id", "source", "text").mapInArrow(run, "doc_id long, source string, score double")
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _scorer(name, shared.value)
+        for b in batches:
+            found: list = []
+            for bad, above in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids, start = scorer.laid_out(above)
+                ratio, kind, key = scorer.ratios(ids)
+                _, lo, hi = best_spans(ratio, start, MOST)
+                inside = np.zeros(len(ids) + 1, np.int64)
+                np.add.at(inside, lo, 1)
+                np.add.at(inside, hi + 1, -1)
+                use = (np.cumsum(inside[:-1]) > 0) & (ratio > MEAN)
+                found += [(*x, bad) for x in set(zip(kind[use].tolist(), key[use].tolist(), strict=True))]
+            k, x, bad = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(x, pa.int64()), pa.array(bad, pa.int32())], names=["kind", "key", "bad"])
+
+    ids = spark.createDataFrame([(i,) for i in bad_ids], "id long").withColumn("bad", F.lit(1))
+    marked = read.filter("size(above) > 0").join(F.broadcast(ids), F.col("doc_id") == F.col("id"), "left").select(F.coalesce("bad", F.lit(0)).alias("bad"), "above")
+    # One row for each toxic part of the model: its number is bounded by that of the sample.
+    counts = marked.mapInArrow(keys, "kind int, key long, bad int").groupBy("kind", "key").agg(F.count(F.lit(1)).alias("docs"), F.sum("bad").alias("bad")).toPandas()
+    caps = pickle.dumps(caps_of(*(counts[c].to_numpy(t) for c, t in (("kind", np.int64), ("key", np.int64), ("docs", float), ("bad", float)))))
+    shared_caps, again = spark.sparkContext.broadcast(caps), hash((model, caps))
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            value = b.column(2).to_numpy().copy()
+            above = b.column(3).to_pylist()
+            flat = [s for a in above for s in a]
+            if flat:
+                scorer = _scorer(again, shared.value, shared_caps.value)
+                np.maximum.at(value, np.repeat(np.arange(len(above)), [len(a) for a in above]), np.maximum(scorer.corrected(flat), -10.0))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(value)], names=["doc_id", "source", "total"])
+
+    total = read.mapInArrow(last, "doc_id long, source string, total double")
+    held = pickle.loads(model)["held"]
+    found = total.agg(*(F.count(F.when(F.col("total") > x, 1)).alias(f"n{i}") for i, x in enumerate(LIMITS))).first()
+    bad, fine = (np.array([(h > x).mean() if len(h) else 0.0 for x in LIMITS]) for h in held)
+    worth = np.maximum(bad - fine, 0) ** 2 / np.maximum(np.array(found), 1)
+    limit = LIMITS[int(np.argmax(worth))] if worth.max() > 0 else LIMITS[-1]
+    return total.select("doc_id", "source", F.when(F.col("total") <= -10, F.lit(-10.0)).otherwise(F.col("total") / limit).alias("score"))

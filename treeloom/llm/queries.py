@@ -53,7 +53,7 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 
 def _p9(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return abuse.scores(docs, abuse.fit(docs, table(spark, d, "doc_label")))
+    return abuse.scores(docs, *abuse.fit(docs, table(spark, d, "doc_label")))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
