@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,9 +83,27 @@ def test_last_log_entry(spark):
     assert rows(dangling.last_log(log)) == [("t", 5, "deleted"), ("t", 6, "arrived")]
 
 
-def test_dictionary(spark):
-    df = spark.createDataFrame([(x,) for x in ["b", "a", None, "b", "c"]], "k string")
-    assert rows(dangling.encode_keys(df, "k")) == [("a", 1), ("b", 2), ("c", 3)]
+def test_text_keys_and_several_ranges(spark, monkeypatch):
+    monkeypatch.setattr(dangling, "CODES", 16)  # of keys in a range, in local workers only if they see it; results are the same
+    side = dangling.side
+    keys = [f"k{i:05d}" for i in range(500)]
+    ref = spark.createDataFrame([(t, k) for t in (0, 1) for k in keys], "t int, k string")
+    there = spark.createDataFrame([(k,) for k in keys[::3]], "k string")
+    got = dangling.dangling_keys([side(ref.filter("t = 0"), 0, 0, "k"), side(ref.filter("t = 1"), 1, 1, "k"), side(there, 0, dangling.IN_TABLE, "k"), side(there.limit(0), 1, dangling.IN_TABLE, "k")])
+    assert rows(got.select("role", "key")) == sorted([(0, k) for i, k in enumerate(keys) if i % 3] + [(1, k) for k in keys], key=repr)
+
+
+def test_ranges_end_where_they_should(monkeypatch):
+    monkeypatch.setattr(dangling, "CODES", 8)
+    rng = random.Random(7)
+    refs, there = {(t, rng.randrange(200)) for t in (0, 1) for _ in range(90)}, {(t, rng.randrange(200)) for t in (0, 1) for _ in range(90)}
+    data = sorted([(t, k, t, p) for t, k in refs for p in (1, 2)] + [(t, k, dangling.IN_TABLE, 0) for t, k in there])
+    for size in (1, 5, 17, 1000):
+        batches = [pa.RecordBatch.from_pydict({"tgt": pa.array([r[0] for r in part], pa.int32()), "role": pa.array([r[2] for r in part], pa.int32()), "period": pa.array([r[3] for r in part], pa.int32()), "key": pa.array([r[1] for r in part], pa.int64())})
+                   for part in (data[i : i + size] for i in range(0, len(data), size))]
+        got = [tuple(r.values()) for b in dangling._and_not(iter(batches)) for r in b.to_pylist()]
+        assert sorted(got) == sorted((t, p, k) for t, k in refs - there for p in (1, 2))
+        assert sum(b.num_rows for b in dangling._distinct(iter(batches * 2))) == len(data)
 
 
 # Snapshots -----------------------------------------------------------------------------------------------------------
@@ -196,12 +215,18 @@ def test_quantiles_with_hot_key(spark, monkeypatch):
     assert rows(selection.quantiles(selection.value_counts(df, "k", "v"), (0.5,))) == [(1, 0.5, 499), (2, 0.5, 499)]
 
 
-def test_heavy_keys(spark):
+def test_heavy_values(spark):
     data = [(1,)] * 3 + [(None,)] * 90 + [(i,) for i in range(2, 9)]
-    df = spark.createDataFrame(data, "k long").withColumn("v", F.lit(1).cast("long"))
-    assert rows(selection.heavy_keys(selection.key_totals(selection.value_counts(df, "k", "v")), 0.03)) == [(1, 3)]
-    assert selection.heavy_keys(selection.key_totals(selection.value_counts(df.limit(0), "k", "v")), 0.03).count() == 0
-    assert selection.quantiles(selection.value_counts(df.limit(0), "k", "v"), (0.5,)).count() == 0
+    df = spark.createDataFrame(data, "k long")
+    assert selection.heavy_values(df, "k", "0.03") == [(1, 3)]
+    assert selection.heavy_values(df.limit(0), "k", "0.03") == selection.heavy_values(df.filter("k is null"), "k", "0.03") == []
+    assert selection.quantiles(selection.value_counts(df.withColumn("v", F.lit(1)).limit(0), "k", "v"), (0.5,)).count() == 0
+    rng = random.Random(3)
+    for spread in (5, 300, 10**6, 2**63 - 1):
+        hot = [rng.randint(-spread, spread) for _ in range(6)] + [-spread, spread]
+        keys = [rng.choice(hot) if rng.random() < 0.5 else rng.randint(-spread, spread) for _ in range(1500)]
+        some = spark.createDataFrame([(k,) for k in keys], "k long")
+        assert selection.heavy_values(some, "k", "0.03") == sorted((k, n) for k, n in Counter(keys).items() if n * 100 >= 3 * len(keys))
 
 
 def test_distinct_per_key(spark):

@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from treeloom.operators import chains
@@ -104,8 +105,10 @@ def test_only_touched_chains(spark):
     u = spark.createDataFrame([(1, "tag", 1, 4, "M", "c", None, t), (2, "tag", 2, None, "M", "c", None, t), (3, "file", 5, 6, "D", None, None, t)], UPD)
     got = rows(chains.affected_chains(tag, file, bridge, u).select("kind", "key_id", "vid_s", "vid_e"))
     assert got == [("file", 5, 1, 2), ("file", 5, 3, 5), ("tag", 1, 1, 3), ("tag", 1, 4, 0)]
-    everything = rows(chains.full_history(tag, file, bridge, u).select("kind", "key_id", "vid_s", "vid_e"))
-    assert everything == sorted(got + [("tag", 2, 1, 0)])
+    store = chains.ChainStore(spark, buckets=3)
+    store.write(chains.stored_history(tag, file, bridge))
+    store.replace(chains.touched_keys(u), chains.affected_chains(tag, file, bridge, u))
+    assert rows(store.read().select("kind", "key_id", "vid_s", "vid_e")) == sorted(got + [("tag", 2, 1, 0)])
 
 
 def test_empty(spark):
@@ -124,3 +127,36 @@ def test_store_replaces_chains_at_once(spark, tmp_path):
     after = rows(store.read())
     assert len(after) == 18 + 3 and ("tag", 3, 5, 0, "b", 3) in after and not any(r[1] == 7 for r in after)
     assert before.count() == 20  # a reader of the old state still sees it whole
+
+
+def test_a_replacement_that_dies_can_be_repeated(spark, tmp_path, monkeypatch):
+    schema = "kind string, key_id long, vid_s int, vid_e int, code string, ast_id long"
+    store = chains.ChainStore(spark, f"file://{tmp_path}/store", buckets=4)
+    new = spark.createDataFrame([("tag", 3, 5, 0, "b", 3)], schema)
+    store.write(spark.createDataFrame([("tag", k, 1, 0, "a", k) for k in range(20)], schema))
+    before = rows(store.read())
+
+    def dies(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "_publish", dies)
+        with pytest.raises(RuntimeError, match="lost"):
+            store.replace(new, new)
+    assert rows(store.read()) == before
+    store.replace(new, new)
+    assert ("tag", 3, 5, 0, "b", 3) in rows(store.read()) and len(rows(store.read())) == 20
+    n, manifest = store._manifest()
+    with pytest.raises(RuntimeError, match="another writer"):
+        store._publish(n, manifest)
+    assert store._manifest() == (n, manifest)
+
+
+def test_replacing_in_an_empty_store(spark, tmp_path):
+    store = chains.ChainStore(spark, f"file://{tmp_path}/store", buckets=4)
+    none = spark.createDataFrame([], "kind string, key_id long, vid_s int, vid_e int, code string, ast_id long")
+    store.replace(none, none)
+    assert store.read().count() == 0
+    some = spark.createDataFrame([("tag", 1, 1, 0, "a", 1)], none.schema)
+    store.replace(some, some)
+    assert rows(store.read()) == [("tag", 1, 1, 0, "a", 1)]

@@ -11,9 +11,11 @@ window, so a window group is never larger than the number of versions, however h
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from treeloom.runtime import broadcast_if_small, new_path
@@ -121,65 +123,67 @@ def affected_chains(m_tag: DataFrame, m_file: DataFrame, m_bridge_file: DataFram
     return rebuild(stored, updates)
 
 
-def full_history(m_tag: DataFrame, m_file: DataFrame, m_bridge_file: DataFrame, updates: DataFrame) -> DataFrame:
-    """The whole history after the updates: untouched chains as they were, touched chains replaced."""
-    touched = touched_keys(updates)
-    n = touched.count()
-    none = updates.limit(0)
-    before = tag_rows(m_tag).filter("key_id <> 0").unionByName(file_rows(m_file, m_bridge_file))
-    untouched = before.join(broadcast_if_small(touched, n), KEY, "left_anti")
-    return rebuild(untouched, none).unionByName(affected_chains(m_tag, m_file, m_bridge_file, updates))
+def stored_history(m_tag: DataFrame, m_file: DataFrame, m_bridge_file: DataFrame) -> DataFrame:
+    """The history before any update: the chains of all stored entities but tag 0, which is none."""
+    stored = tag_rows(m_tag).filter("key_id <> 0").unionByName(file_rows(m_file, m_bridge_file))
+    no_updates = m_tag.sparkSession.createDataFrame([], "upd_id long, kind string, key_id long, vid int, stat string, code string, ast_id long, arrived_at timestamp")
+    return rebuild(stored, no_updates)
 
 
 class ChainStore:
     """A history on shared storage, in hash buckets, whose touched chains are replaced atomically.
 
-    A manifest names the folder of each bucket. :meth:`replace` rewrites only the buckets that hold touched keys into
-    new folders and then publishes a new manifest with one rename: a reader sees all replaced chains or none, and a
-    job that dies before the rename leaves the old state in force. One writer at a time.
+    A manifest names the folders of each bucket. :meth:`replace` writes the buckets that hold touched keys anew, into a
+    folder of its own, and then publishes a new manifest with one rename: a reader sees all replaced chains or none. A
+    job that dies before the rename leaves the old state in force and a folder that no manifest names; the same step can
+    be taken again. One writer at a time; a second one fails and changes nothing.
+
+    Rows with a null key are in a bucket like all others. A key is never split over buckets, so ``buckets`` should grow
+    with the data (``files`` more tasks write each bucket).
     """
 
-    def __init__(self, spark: SparkSession, root: str | None = None, buckets: int = 64) -> None:
-        self.spark, self.root, self.buckets = spark, (root or new_path(spark, "chains")), buckets
+    def __init__(self, spark: SparkSession, root: str | None = None, buckets: int = 64, files: int = 1) -> None:
+        self.spark, self.root, self.buckets, self.files = spark, (root or new_path(spark, "chains")), buckets, files
 
     def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _manifest(self) -> tuple[int, dict[str, str]]:
+    def _manifest(self) -> tuple[int, dict]:
+        """(generation, manifest): 0 and an empty one before the first."""
         fs, p = self._fs(f"{self.root}/manifests")
-        if not fs.exists(p):
-            return 0, {}
-        n = max((int(s.getPath().getName()) for s in fs.listStatus(p) if s.getPath().getName().isdigit()), default=0)
-        if not n:
-            return 0, {}
-        return n, json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.root}/manifests/{n}").collect()))
-
-    def _publish(self, n: int, manifest: dict[str, str]) -> None:
-        fs, tmp = self._fs(f"{self.root}/manifests/.{n}.tmp")
-        out = fs.create(tmp, True)
+        n = max((int(s.getPath().getName()) for s in fs.listStatus(p) if s.getPath().getName().isdigit()), default=0) if fs.exists(p) else 0
+        return n, json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.root}/manifests/{n}").collect())) if n else {}
+
+    def _publish(self, n: int, manifest: dict) -> None:
+        fs, tmp = self._fs(f"{self.root}/manifests/.{uuid.uuid4().hex}.tmp")
+        out = fs.create(tmp, False)
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
         _, final = self._fs(f"{self.root}/manifests/{n}")
-        if not fs.rename(tmp, final):
+        if fs.exists(final) or not fs.rename(tmp, final):
+            fs.delete(tmp, False)
             raise RuntimeError(f"generation {n} was published by another writer")
 
     def _bucket(self, df: DataFrame) -> DataFrame:
         return df.withColumn("bucket", F.pmod(F.xxhash64(*KEY), F.lit(self.buckets)).cast("int"))
 
+    def _write(self, rows: DataFrame) -> str:
+        data = f"{self.root}/data/{uuid.uuid4().hex}"
+        self._bucket(rows).repartition("bucket", F.pmod(F.xxhash64("key_id", F.lit(1)), F.lit(self.files))).write.partitionBy("bucket").parquet(data)
+        return data
+
     def write(self, history: DataFrame) -> None:
+        """Make ``history`` the whole state."""
         n, _ = self._manifest()
-        data = f"{self.root}/data/{n + 1}"
-        self._bucket(history).write.partitionBy("bucket").parquet(data)
+        data = self._write(history)
         self._publish(n + 1, {str(b): f"{data}/bucket={b}" for b in range(self.buckets)} | {"schema": history.schema.json()})
 
     def read(self, buckets: list[int] | None = None) -> DataFrame:
-        from pyspark.sql.types import StructType
-
+        """The current state, or some buckets of it."""
         _, m = self._manifest()
         schema = StructType.fromJson(json.loads(m["schema"]))
-        wanted = [m[str(b)] for b in (range(self.buckets) if buckets is None else buckets)]
+        wanted = [m[str(b)] for b in (range(self.buckets) if buckets is None else buckets) if str(b) in m]
         paths = [p for p in dict.fromkeys(wanted) if self._exists(p)]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
@@ -188,12 +192,12 @@ class ChainStore:
         return fs.exists(p)
 
     def replace(self, touched: DataFrame, chains: DataFrame) -> None:
-        """Put ``chains`` in place of all versions of the ``touched`` entities."""
+        """Put ``chains`` in place of all versions of the ``touched`` entities. The store may be empty before."""
         n, m = self._manifest()
-        hit = sorted(r[0] for r in self._bucket(touched).select("bucket").distinct().collect())  # at most `buckets` values
-        if not hit:
+        hit = sorted(r[0] for r in self._bucket(touched.select(*KEY)).select("bucket").distinct().collect())  # at most `buckets` values
+        if not hit and n:
             return
-        keep = self.read(hit).join(touched.select(*KEY).distinct(), KEY, "left_anti")
-        data = f"{self.root}/data/{n + 1}"
-        self._bucket(keep.unionByName(chains)).write.partitionBy("bucket").parquet(data)
-        self._publish(n + 1, m | {str(b): f"{data}/bucket={b}" for b in hit})
+        if n:
+            chains = self.read(hit).join(touched.select(*KEY).distinct(), KEY, "left_anti").unionByName(chains)
+        data = self._write(chains)
+        self._publish(n + 1, m | {str(b): f"{data}/bucket={b}" for b in hit} | {"schema": chains.schema.json()})

@@ -5,13 +5,17 @@ bracket is cut into ``BINS`` equal bins, rows are counted per (key, rank, bin) w
 bin that holds the rank becomes the next bracket. What meets in one place per key is a histogram of at most ``BINS``
 counts, never its values. Values are integers, so a bracket of width 1 is an exact result; 32-bit values need at most
 four rounds. Distinct counts and totals are two-step aggregates that spread a hot key by value.
+
+The keys that hold a share of all rows are found by the same selection among the keys themselves (:func:`heavy_values`).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from fractions import Fraction
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -30,13 +34,61 @@ def key_totals(counts: DataFrame) -> DataFrame:
     return counts.groupBy("k").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("v").isNotNull(), F.col("c"))).alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi"))
 
 
-def heavy_keys(totals: DataFrame, share: float) -> DataFrame:
-    """(k, n) of the non-null keys holding at least ``share`` of all rows: at most ``1 / share`` rows.
+def _bins(lo: int, hi: int) -> list[tuple[int, int]]:
+    """The interval in at most BINS parts of equal width; one that does not fit into 64 bits is cut at 0."""
+    if hi - lo >= 2**62:
+        return [(lo, -1), (0, hi)] if lo < 0 <= hi else [(lo, lo + 2**61), (lo + 2**61 + 1, hi)]
+    width = (hi - lo) // BINS + 1
+    return [(at, min(at + width - 1, hi)) for at in range(lo, hi + 1, width)]
+
+
+def _bin_of(v: Column, brackets: Sequence[tuple[int, int]]) -> Column:
+    """Number of the bin of a value, counted over all brackets; null outside of them."""
+    out, first = None, 0
+    for lo, hi in brackets:
+        bins = _bins(lo, hi)
+        if len(bins) == 2 and hi - lo >= BINS:
+            nth = F.when(v <= bins[0][1], F.lit(first)).otherwise(F.lit(first + 1))
+        else:
+            nth = F.call_function("div", v - lo, F.lit(bins[0][1] - bins[0][0] + 1)) + first
+        here = v.between(lo, hi)
+        out = F.when(here, nth) if out is None else out.when(here, nth)
+        first += len(bins)
+    return out
+
 
-    ``totals`` from :func:`key_totals`, best materialised. All rows count for the whole, those of a null key included.
+def heavy_values(df: DataFrame, column: str, share: str) -> list[tuple[int, int]]:
+    """(value, rows) of the non-null integers of a column that at least ``share`` of all rows hold: at most ``1 / share``.
+
+    Let s be the least number of rows that makes the share. Of the rows in the order of the column, those of one value
+    stand together, so a value with s rows stands at one of the ranks s, 2 s, 3 s, ... Exact selection asks for the
+    values at these ranks: the column's range is cut into bins, rows are counted per bin on the map side, and the bins
+    that hold a rank become the next brackets. A bin of fewer than s rows holds no such value and is dropped. What the
+    driver sees in a round is at most ``BINS`` counts for each of the ``1 / share`` ranks. Rows with a null count for the
+    whole. ``share`` is text, so that it is exact. No rows, or only nulls: nothing.
     """
-    whole = totals.agg(F.sum("n").alias("whole"))
-    return totals.crossJoin(F.broadcast(whole)).filter(F.col("k").isNotNull() & (F.col("n") >= share * F.col("whole"))).select("k", "n")  # one row
+    v = F.col(column).cast("long")
+    total, n, lo, hi = df.agg(F.count(F.lit(1)), F.count(column), F.min(v), F.max(v)).first()
+    step = max(1, math.ceil(Fraction(share) * total))
+    brackets = {(lo, hi): (n, list(range(step, n + 1, step)))} if n >= step else {}
+    found = []
+    while brackets:
+        found += [(at, rows) for (at, end), (rows, _) in brackets.items() if at == end]
+        open_ = {b: x for b, x in brackets.items() if b[0] < b[1]}
+        if not open_:
+            break
+        counts = dict(df.groupBy(_bin_of(v, list(open_)).alias("_bin")).agg(F.count(F.lit(1)).alias("_rows")).filter("_bin is not null").collect())
+        brackets, first = {}, 0
+        for (low, high), (_, ranks) in open_.items():
+            before = 0
+            for i, part in enumerate(_bins(low, high)):
+                rows = counts.get(first + i, 0)
+                inside = [r - before for r in ranks if before < r <= before + rows]
+                before += rows
+                if inside and rows >= step:
+                    brackets[part] = (rows, inside)
+            first += len(_bins(low, high))
+    return sorted(found)
 
 
 def quantiles(counts: DataFrame, probs: Sequence[float]) -> DataFrame:

@@ -17,13 +17,20 @@ def _p1_inputs(spark, d):
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Every version of the complete history of each entity that updates touch."""
-    return chains.affected_chains(*_p1_inputs(spark, d)).select("kind", "key_id", "vid_s", "vid_e")
+    """Every version of the complete history of each entity that updates touch, as published by the chain store."""
+    tables = _p1_inputs(spark, d)
+    store = chains.ChainStore(spark, buckets=max(8, tables[3].count() // 2_000_000))
+    store.replace(chains.touched_keys(tables[3]), chains.affected_chains(*tables))
+    return store.read().select("kind", "key_id", "vid_s", "vid_e")
 
 
 def p1_history(spark: SparkSession, d: str) -> DataFrame:
-    """The history of all entities with the touched chains replaced."""
-    return chains.full_history(*_p1_inputs(spark, d))
+    """The history of all entities: the stored one, in which the touched chains are replaced at once."""
+    tag, file, bridge, updates = _p1_inputs(spark, d)
+    store = chains.ChainStore(spark, buckets=max(64, (tag.count() + file.count()) // 2_000_000))
+    store.write(chains.stored_history(tag, file, bridge))
+    store.replace(chains.touched_keys(updates), chains.affected_chains(tag, file, bridge, updates))
+    return store.read()
 
 
 # 2 ---------------------------------------------------------------------------------------------------------------
@@ -144,14 +151,10 @@ def p5_periods(spark: SparkSession, d: str) -> DataFrame:
 # 6 ---------------------------------------------------------------------------------------------------------------
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    """Keys holding at least 3 % of all rows, from the totals of the mergeable histograms."""
-    tags = selection.value_counts(table(spark, d, "m_bridge_tag"), "fid", "line_s")
-    types = selection.value_counts(table(spark, d, "m_ast").select("type_id", F.length("name").alias("len")), "type_id", "len")
-    found = [
-        selection.heavy_keys(materialize(selection.key_totals(c), "totals"), 0.03).select(F.lit(t).alias("tbl"), F.col("k").cast("long").alias("key_id"))
-        for t, c in (("m_bridge_tag", tags), ("m_ast", types))
-    ]
-    return found[0].unionAll(found[1])
+    """Keys holding at least 3 % of all rows: the values at every 3 % of the ranks of the key, by distributed selection."""
+    keys = (("m_bridge_tag", "fid"), ("m_ast", "type_id"))
+    found = [(t, k) for t, c in keys for k, _ in selection.heavy_values(table(spark, d, t), c, "0.03")]  # at most 33 a table
+    return spark.createDataFrame(found, "tbl string, key_id long")
 
 
 def _with_quantiles(base: DataFrame, counts: DataFrame) -> DataFrame:
