@@ -9,10 +9,10 @@ from collections import Counter
 import pytest
 
 import __spark_entry__ as entry
-from treeloom.queries import general, model
+from treeloom.queries import engine, general, model
 
 DATA = "/root/testdata/sf0.001"
-NAMES = [*general.QUERIES, *model.QUERIES]
+NAMES = [*general.QUERIES, *model.QUERIES, *engine.QUERIES]
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 
 

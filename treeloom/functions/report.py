@@ -39,3 +39,9 @@ def roll_up(results: DataFrame, group: list[str], passed: str) -> DataFrame:
     """(group, all_passed, any_failed, n) of boolean results; null counts as failed."""
     ok = F.coalesce(F.col(passed), F.lit(False))
     return results.groupBy(*group).agg(F.bool_and(ok).alias("all_passed"), F.bool_or(~ok).alias("any_failed"), F.count(F.lit(1)).alias("n"))
+
+
+def failures(df: DataFrame, ok: Column, what: str) -> DataFrame:
+    """One row (what, n, failed): how many rows there are and how many fail a check; null counts as failed."""
+    bad = F.count(F.when(~F.coalesce(ok, F.lit(False)), 1))
+    return df.agg(F.count(F.lit(1)).alias("n"), bad.alias("failed")).select(F.lit(what).alias("what"), "n", "failed")

@@ -132,7 +132,7 @@ def listed(items: Column) -> Column:
 
 
 def duration(seconds: Column) -> Column:
-    """Seconds from 1 on, else milliseconds, with one decimal from 10 on and two below; numbers are at least five wide."""
+    """Seconds from 1 on, else milliseconds, with one decimal from 10 on and two below; numbers are at least five wide, halves round up."""
     ms = seconds * 1000
     return F.when(ms >= 1000, F.format_string("%5.2fs", seconds)).when(ms >= 10, F.format_string("%5.1fms", ms)).otherwise(F.format_string("%5.2fms", ms))
 

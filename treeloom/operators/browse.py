@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
 from itertools import count
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from treeloom.operators.select import below, has_separator, immediate_child, tail, without_zero
-from treeloom.runtime import forget, materialize
+from treeloom.runtime import broadcast_if_small, forget, materialize
 
 
 def files_at(v_main: DataFrame, bridge: DataFrame, names: DataFrame, files: DataFrame, version: str | None = None) -> DataFrame:
@@ -39,38 +42,71 @@ def files_below(paths: DataFrame, path: str, prefix: str = "") -> DataFrame:
     return direct.join(sub_directories(paths, path, prefix), "name", "left_anti")
 
 
+def listing(paths: DataFrame, group: str, path: str) -> DataFrame:
+    """(group, dir, name, is_dir): what stands right below each directory, the root (an empty dir) included.
+
+    A name that is a directory is none of the files. Repeated paths count once.
+    """
+    parts = F.split(F.col(path), "/")
+    ups = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, F.lit(1), i - 1), "/").alias("dir"), F.element_at(parts, i).alias("name"), (i < F.size(parts)).alias("is_dir")))
+    rows = paths.filter(F.col(path) != "").select(group, F.explode(ups).alias("x")).select(group, "x.dir", "x.name", "x.is_dir")
+    return rows.groupBy(group, "dir", "name").agg(F.max("is_dir").alias("is_dir"))
+
+
 def kind_of(paths: DataFrame, path: str, ftype: str, wanted: str) -> DataFrame:
     """One row (path, is_file): a path is a file if it is there with a type that is not 0 (directory); null types are files."""
     hit = paths.filter(F.col(path) == wanted).agg(F.count(F.when(F.col(ftype).isNull() | (F.col(ftype) != 0), 1)).alias("n"))
     return hit.select(F.lit(wanted).alias("path"), (F.col("n") > 0).alias("is_file"))
 
 
-def tag_rows(bridge: DataFrame, tags: DataFrame, ast: DataFrame, types: DataFrame) -> DataFrame:
-    """Tags of files with their places and node: inner joins, the type name by a left join; equal rows once."""
+def _with_debug(df: DataFrame, debug: DataFrame | None) -> DataFrame:
+    """Adds ``ast_raw`` of ``ast_id`` by a left join, null without a debug table; equal rows of it count once."""
+    if debug is None:
+        return df.withColumn("ast_raw", F.lit(None).cast("string"))
+    return df.join(debug.select(F.col("ast_id").alias("_d"), "ast_raw").distinct(), F.col("ast_id") == F.col("_d"), "left").drop("_d")
+
+
+def tag_rows(bridge: DataFrame, tags: DataFrame, ast: DataFrame, types: DataFrame, debug: DataFrame | None = None) -> DataFrame:
+    """Tags of files with their places and node: inner joins, type name and debug text by left joins; equal rows once."""
     b = bridge.select("fid", "tag_id", "line_s", "line_e", "char_s", "char_e").distinct()
-    t = tags.select("tag_id", "vid_s", "vid_e", "code", "ast_id").distinct()
+    t = tags.select("tag_id", "vid_s", "vid_e", "code", "ast_id", "hl_s", "hl_l").distinct()
     a = ast.select("ast_id", F.col("name").alias("ast_name"), "type_id").distinct()
     names = F.broadcast(types.select(F.col("type_id").alias("_t"), F.col("name").alias("type_name")))  # fixed table
-    return b.join(t, "tag_id").join(a, "ast_id").join(names, F.col("type_id") == F.col("_t"), "left").drop("_t")
+    return _with_debug(b.join(t, "tag_id").join(a, "ast_id").join(names, F.col("type_id") == F.col("_t"), "left").drop("_t"), debug)
 
 
-def map_rows(maps: DataFrame, ast: DataFrame, types: DataFrame) -> DataFrame:
-    """Node extents of tags (map_id is the tag) with node and type name; equal rows once."""
+def map_rows(maps: DataFrame, ast: DataFrame, types: DataFrame, bridge_map: DataFrame | None = None) -> DataFrame:
+    """Node extents with node and type name, equal rows once; with ``bridge_map`` (tag_id, map_id) those of each tag."""
     m = maps.filter("map_id <> 0").distinct()
+    if bridge_map is not None:
+        m = m.join(bridge_map.select("tag_id", "map_id").distinct(), "map_id")
     a = ast.select("ast_id", F.col("name").alias("ast_name"), "type_id").distinct()
     names = F.broadcast(types.select(F.col("type_id").alias("_t"), F.col("name").alias("type_name")))
     return m.join(a, "ast_id").join(names, F.col("type_id") == F.col("_t"), "left").drop("_t")
 
 
-def file_detail(fid: int, bridge: DataFrame, tags: DataFrame, maps: DataFrame, ast: DataFrame, types: DataFrame) -> DataFrame:
-    """One file, nested: each tag with the array of its node extents, in order of place.
+def file_detail(
+    fid: int, bridge: DataFrame, tags: DataFrame, maps: DataFrame, ast: DataFrame, types: DataFrame,
+    bridge_map: DataFrame | None = None, debug: DataFrame | None = None, containers: DataFrame | None = None,
+) -> DataFrame:
+    """One file, nested: each tag with node, debug text, depth in the containers, and its extents in order of place.
 
-    Only the maps of one tag are put together; the tags of the file stay rows.
+    Without ``bridge_map`` a map has the id of its tag; without ``containers`` depths are null. Depths are those among
+    the links that touch a node of the file. Only the maps of one tag are put together; the tags of the file stay rows.
     """
-    t = tag_rows(bridge.filter(F.col("fid") == fid), tags, ast, types)
-    m = map_rows(maps.join(t.select(F.col("tag_id").alias("map_id")).distinct(), "map_id", "left_semi"), ast, types)
-    item = F.struct("line_s", "char_s", "line_e", "char_e", "ast_id", "ast_name", "type_id", "type_name")
-    nested = m.groupBy(F.col("map_id").alias("tag_id")).agg(F.array_sort(F.collect_list(item)).alias("maps"))
+    t = tag_rows(bridge.filter(F.col("fid") == fid), tags, ast, types, debug)
+    links = maps.filter("map_id <> 0").select(F.col("map_id").alias("tag_id"), "map_id").distinct() if bridge_map is None else bridge_map
+    m = map_rows(maps, ast, types, links.join(t.select("tag_id").distinct(), "tag_id", "left_semi"))
+    if containers is not None:
+        ids = without_zero(t.select("ast_id").unionByName(m.select("ast_id")).distinct(), "ast_id").withColumnRenamed("ast_id", "_i")
+        e = containers.select(F.lit(0).cast("long").alias("g"), F.col("ast_id").alias("p"), F.col("ref_ast_id").alias("c")).distinct()
+        e = e.join(ids, F.col("p") == F.col("_i"), "left_semi").unionByName(e.join(ids, F.col("c") == F.col("_i"), "left_semi"))
+        depth = materialize(container_depths(e, "g", "p", "c").select(F.col("node").alias("ast_id"), F.col("depth").alias("container_depth")), "depths")
+        t, m = t.join(depth, "ast_id", "left"), m.join(depth, "ast_id", "left")
+    else:
+        t, m = (x.withColumn("container_depth", F.lit(None).cast("int")) for x in (t, m))
+    item = F.struct("line_s", "char_s", "line_e", "char_e", "map_id", "ast_id", "ast_name", "type_id", "type_name", "container_depth")
+    nested = m.groupBy("tag_id").agg(F.array_sort(F.collect_list(item)).alias("maps"))
     empty = F.array().cast(nested.schema["maps"].dataType)
     return t.join(nested, "tag_id", "left").withColumn("maps", F.coalesce("maps", empty))
 
@@ -84,14 +120,68 @@ def tag_detail(tag_id: int, bridge: DataFrame, tags: DataFrame, ast: DataFrame,
     return one.join(b, "tag_id", "left").join(a, "ast_id").join(names, F.col("type_id") == F.col("_t"), "left").drop("_t").orderBy("vid_s", "fid", "line_s", "char_s", "line_e", "char_e").limit(1)
 
 
-def container_depths(edges: DataFrame, group: str, parent: str, child: str) -> DataFrame:
-    """(group, node, depth): least number of links from a root of the group, by set-wise breadth-first search.
-
-    Roots are parents that are no child in the group, or all parents if there are none. Ids 0 and null are no nodes.
-    Nodes no root reaches (cycles beside real roots) get a null depth. One round per level; a level is written once.
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(g, n, d) of whole groups of links (g, p, c), which arrive one after the other: breadth-first search in memory."""
+    held: list[pa.RecordBatch] = []
+
+    def depths(g: int, links: list[tuple[int, int]]) -> tuple[list, list, list]:
+        below: dict[int, list[int]] = {}
+        for p, c in links:
+            below.setdefault(p, []).append(c)
+        kids = {c for _, c in links}
+        found: dict[int, int | None] = {p: 0 for p in below if p not in kids} or dict.fromkeys(below, 0)
+        todo = deque(found)
+        while todo:
+            p = todo.popleft()
+            for c in below.get(p, ()):
+                if c not in found:
+                    found[c] = found[p] + 1
+                    todo.append(c)
+        nodes = list(kids.union(below))
+        return [g] * len(nodes), nodes, [found.get(n) for n in nodes]
+
+    def groups(end: bool) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        g, p, c = (t.column(i).to_pylist() for i in range(3))
+        starts = [i for i in range(len(g)) if not i or g[i] != g[i - 1]]
+        ends = [*starts[1:], len(g)]
+        whole = len(starts) - (not end)  # the last group may go on
+        parts = [depths(g[a], list(zip(p[a:b], c[a:b], strict=True))) for a, b in zip(starts[:whole], ends[:whole], strict=True)]
+        held[:] = t.slice(ends[whole - 1] if whole else 0).to_batches()
+        out = [[x for part in parts for x in part[i]] for i in range(3)]
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32())], names=["g", "n", "d"])
+
+    last = None
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            if (b.column(0)[0] != last or b.column(0)[-1] != last) and last is not None:
+                yield groups(False)
+            last = b.column(0)[-1]
+    if held:
+        yield groups(True)
+
+
+def container_depths(edges: DataFrame, group: str, parent: str, child: str, most: int = 1_000_000) -> DataFrame:
+    """(group, node, depth): least number of links from a root of the group.
+
+    Roots are parents that are no child in the group, or all parents if there are none. Ids 0 and null are no nodes, a
+    null group is none. Nodes no root reaches (cycles beside real roots) get a null depth. A group of up to ``most``
+    distinct links is searched in one task; greater ones, level by level over all tasks, give the same.
     """
-    e = without_zero(without_zero(edges, parent), child).select(F.col(group).alias("g"), F.col(parent).alias("p"), F.col(child).alias("c")).distinct()
-    e = materialize(e, "edges")
+    e = without_zero(without_zero(edges, parent), child).filter(F.col(group).isNotNull())
+    e = materialize(e.select(F.col(group).cast("long").alias("g"), F.col(parent).cast("long").alias("p"), F.col(child).cast("long").alias("c")).distinct(), "edges")
+    large = materialize(e.groupBy("g").count().filter(F.col("count") > most).select("g"), "large")
+    n = large.count()
+    small = e.join(broadcast_if_small(large, n), "g", "left_anti") if n else e
+    out = small.repartition("g").sortWithinPartitions("g").mapInArrow(_search, "g long, n long, d int")
+    if n:
+        out = out.unionByName(_depths_by_level(materialize(e.join(broadcast_if_small(large, n), "g", "left_semi"), "edges")))
+    return out.select(F.col("g").alias(group), F.col("n").alias("node"), F.col("d").alias("depth"))
+
+
+def _depths_by_level(e: DataFrame) -> DataFrame:
+    """The same for links (g, p, c) of groups of any size: one round per level; a level is written once."""
     heads = e.select("g", "p").distinct()
     roots = heads.join(e.select("g", F.col("c").alias("p")).distinct(), ["g", "p"], "left_anti")
     rootless = heads.join(roots.select("g").distinct(), "g", "left_anti")
@@ -115,30 +205,43 @@ def container_depths(edges: DataFrame, group: str, parent: str, child: str) -> D
     for part in parts[1:]:
         found = found.unionByName(part)
     nodes = e.select("g", F.col("p").alias("n")).unionByName(e.select("g", F.col("c").alias("n"))).distinct()
-    return nodes.join(found, ["g", "n"], "left").select(F.col("g").alias(group), F.col("n").alias("node"), F.col("d").cast("int").alias("depth"))
+    return nodes.join(found, ["g", "n"], "left").select("g", "n", F.col("d").cast("int").alias("d"))
 
 
-def bounded_tree(roots: DataFrame, edges: DataFrame, ast: DataFrame, types: DataFrame, depth: int = 3) -> DataFrame:
-    """(root, path, node, depth, priority, name, type_name): the trees below ``roots`` (node), to ``depth`` levels (1 to 10).
+def bounded_tree(roots: DataFrame, edges: DataFrame, ast: DataFrame, types: DataFrame, depth: int = 3, debug: DataFrame | None = None) -> DataFrame:
+    """The trees below ``roots`` (node), to ``depth`` levels (1 to 10), one row for each node of a tree:
+    (root, path, node, depth, priority, relation, name, type_id, type_name, ast_raw).
 
-    A node that is its own ancestor appears once more and has no children there. Missing nodes are ``Unknown`` of type
-    ``Undefined``. One join per level; ``path`` holds the priorities from the root.
+    ``path`` holds the priorities from the root, ``relation`` is the type of the link. A node that is its own ancestor
+    appears once more and has no children there. A missing root is ``Unknown`` of type 0, ``Undefined``, without
+    children; a child without a node is left out, with all below it. ``debug`` gives ``ast_raw``, null without it. One
+    join per level; equal links and equal nodes count once.
     """
     if not 1 <= depth <= 10:
         raise ValueError("depth is 1 to 10")
-    e = without_zero(edges, "ref_ast_id").select(F.col("ast_id").alias("p"), F.col("priority").alias("rank"), F.col("ref_ast_id").alias("c")).distinct()
-    level = roots.select(F.col("node").alias("root"), F.lit("").alias("path"), "node", F.lit(0).alias("depth"), F.lit(None).cast("int").alias("priority"), F.array("node").alias("seen"), F.lit(False).alias("again"))
+    nodes = ast.select(F.col("ast_id").alias("_a"), "name", "type_id").distinct()
+    there = nodes.select("_a").distinct()
+    e = without_zero(edges, "ref_ast_id").select(F.col("ast_id").alias("p"), F.col("priority").alias("rank"), F.col("type_id").alias("rel"), F.col("ref_ast_id").alias("c")).distinct()
+    e = e.join(there, F.col("c") == F.col("_a"), "left_semi").join(there, F.col("p") == F.col("_a"), "left_semi")
+    level = roots.select(
+        F.col("node").alias("root"), F.lit("").alias("path"), "node", F.lit(0).alias("depth"), F.lit(None).cast("int").alias("priority"), F.lit(None).cast("short").alias("rel"), F.array("node").alias("seen"), F.lit(False).alias("again")
+    )
     out = level
     for d in range(1, depth + 1):
-        nxt = level.filter("not again").join(e, F.col("node") == F.col("p"))
+        nxt = level.filter("not again").join(e.withColumnRenamed("rel", "rel2"), F.col("node") == F.col("p"))
         sep = F.when(F.col("path") == "", F.lit("")).otherwise(F.concat("path", F.lit(".")))
-        level = nxt.select("root", F.concat(sep, F.col("rank").cast("string")).alias("path"), F.col("c").alias("node"), F.lit(d).alias("depth"), F.col("rank").alias("priority"), F.concat("seen", F.array("c")).alias("seen"), F.array_contains("seen", F.col("c")).alias("again"))
+        level = nxt.select(
+            "root", F.concat(sep, F.coalesce(F.col("rank").cast("string"), F.lit(""))).alias("path"), F.col("c").alias("node"), F.lit(d).alias("depth"), F.col("rank").alias("priority"), F.col("rel2").alias("rel"),
+            F.concat("seen", F.array("c")).alias("seen"), F.array_contains("seen", F.col("c")).alias("again"),
+        )
         out = out.unionByName(level)
-    a = ast.select(F.col("ast_id").alias("_a"), F.col("name").alias("name"), F.col("type_id").alias("_t")).distinct()
-    names = F.broadcast(types.select(F.col("type_id").alias("_n"), F.col("name").alias("type_name")))
-    j = out.join(a, F.col("node") == F.col("_a"), "left").join(names, F.coalesce("_t", F.lit(0)) == F.col("_n"), "left")
+    raw = types.limit(0).select(F.lit(0).cast("long").alias("_d"), F.lit("").alias("ast_raw")) if debug is None else debug.select(F.col("ast_id").alias("_d"), "ast_raw").distinct()
+    names = types.select(F.col("type_id").alias("_n"), F.col("name").alias("type_name"))  # fixed table
+    relations = types.select(F.col("type_id").alias("_r"), F.col("name").alias("relation"))
+    j = out.join(nodes, F.col("node") == F.col("_a"), "left").withColumn("type_id", F.when(F.col("_a").isNull(), F.lit(0)).otherwise(F.col("type_id")).cast("short"))
+    j = j.join(F.broadcast(names), F.col("type_id") == F.col("_n"), "left").join(F.broadcast(relations), F.col("rel") == F.col("_r"), "left").join(raw, F.col("node") == F.col("_d"), "left")
     name = F.when(F.col("_a").isNull(), "Unknown").otherwise(F.col("name"))
-    return j.select("root", "path", "node", "depth", "priority", name.alias("name"), "type_name")
+    return j.select("root", "path", "node", "depth", "priority", "relation", name.alias("name"), "type_id", "type_name", "ast_raw")
 
 
 def ordered_children(df: DataFrame, parent: str, order: list[str]) -> DataFrame:

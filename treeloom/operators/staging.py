@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from treeloom.operators.select import first_rule
 from treeloom.runtime import dense_ids, hot_keys
 
 #: Children of one parent from which on they are numbered in parallel.
@@ -52,8 +54,13 @@ def upsert(base: DataFrame, updates: DataFrame, key: Sequence[str]) -> DataFrame
     return base.join(updates.select(*key), list(key), "left_anti").select(*base.columns).unionByName(updates.select(*base.columns))
 
 
-def patch(base: DataFrame, updates: DataFrame, key: Sequence[str]) -> DataFrame:
-    """The new full state where a null in an update keeps the stored value; updates of unknown keys are ignored."""
+def patch(base: DataFrame, updates: DataFrame, key: Sequence[str], unresolved: Column | None = None) -> DataFrame:
+    """The new full state where a null in an update keeps the stored value; updates of unknown keys are ignored.
+
+    Updates for which ``unresolved`` holds (a reference that is not known yet) are skipped whole.
+    """
+    if unresolved is not None:
+        updates = updates.filter(~F.coalesce(unresolved, F.lit(False)))
     rest = [c for c in base.columns if c not in key]
     u = updates.select(*key, *(F.col(c).alias(f"_u_{c}") for c in rest if c in updates.columns))
     return base.join(u, list(key), "left").select(*(F.coalesce(F.col(f"_u_{c}"), F.col(c)).alias(c) if f"_u_{c}" in u.columns else F.col(c) for c in base.columns))
@@ -112,3 +119,24 @@ def missing_parents(child: DataFrame, column: str, parent: DataFrame, key: str)
 def repeated_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
     """Violations of a primary key: keys with more than one row, and how many."""
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+def expand(children: DataFrame, parent: str, order: Sequence[str], kind: Column, rules: Sequence[tuple], otherwise: Any, start: int = 0) -> DataFrame:
+    """Container rows from child rows: (parent, priority, type_id, child): the first rule that matches ``kind`` gives the type of
+    the link, the place among the parent's children (from ``start``) its priority. ``children`` has a column ``child``.
+    """
+    typed = children.withColumn("link_type", first_rule(kind, rules, otherwise).cast("short"))
+    return rank_children(typed, parent, order, start, "priority").select(parent, "priority", F.col("link_type").alias("type_id"), "child")
+
+
+def resolve_all(staged: DataFrame, key: str, needs: str) -> DataFrame:
+    """(key, round) of staged rows whose references lead to rows that need nothing: the round in which they can be done, from 0.
+
+    Rows that wait for each other in a circle, or for a row above such a circle, have round null. A row that needs
+    several others waits for the last of them only where they are one chain; here each key has one ``needs`` (the
+    smallest counts). Rounds come from doubled pointers, not from trying again.
+    """
+    from treeloom.operators.hierarchy_paths import hierarchy
+
+    h = hierarchy(staged.select(F.col(needs).alias("p"), F.col(key).alias("v"), F.lit(0).alias("rank")), "p", "v", "rank")
+    return h.select(F.col("node_id").alias(key), F.when(F.col("depth") >= 0, F.col("depth")).alias("round"))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from treeloom.runtime import dense_ids, materialize
 
 
 def classify(old: DataFrame, new: DataFrame, key: str, content: str) -> DataFrame:
@@ -73,6 +76,30 @@ def directory_changes(old: DataFrame, new: DataFrame, path: str) -> DataFrame:
     return o.join(n, "dir", "full").select("dir", op.alias("op"))
 
 
+def register(v_main: DataFrame, name: str) -> DataFrame:
+    """One row (vid, old_vid, vname, known): the version of a name, or the next one for a new name; old_vid is the one before.
+
+    A known version is its own old one. Of several rows with the name the lowest vid counts.
+    """
+    found = v_main.agg(F.min(F.when(F.col("vname") == name, F.col("vid"))).alias("there"), F.coalesce(F.max("vid"), F.lit(0)).alias("top"))
+    known = F.col("there").isNotNull()
+    return found.select(F.coalesce("there", F.col("top") + 1).cast("int").alias("vid"), F.coalesce("there", "top").cast("int").alias("old_vid"), F.lit(name).alias("vname"), known.alias("known"))
+
+
+def presence(snapshots: DataFrame, steps: DataFrame, key: str) -> DataFrame:
+    """(key, vid_s, vid_e) of the runs of consecutive snapshots that hold a key; vid_e 0 if the last one does.
+
+    ``snapshots`` (vid, key) may repeat rows; ``steps`` has (vid, i, nxt): each delivered vid with its number and the next
+    vid, null for the last. A run ends before the next snapshot. The window of a key is as long as it has snapshots.
+    """
+    w = Window.partitionBy(key).orderBy("i")
+    at = snapshots.select("vid", key).distinct().join(F.broadcast(steps), "vid")  # one row per version
+    at = at.withColumn("run", F.col("i") - F.row_number().over(w))
+    return at.groupBy(key, "run").agg(F.min("vid").alias("vid_s"), F.max(F.struct("i", "nxt")).getField("nxt").alias("nxt")).select(
+        key, F.col("vid_s").cast("int").alias("vid_s"), F.coalesce(F.col("nxt") - 1, F.lit(0)).cast("int").alias("vid_e")
+    )
+
+
 def apply_version(files: DataFrame, bridge: DataFrame, snapshot: DataFrame, vid: int, first_fid: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One version of a tree: the new (files, bridge, moved) tables.
 
@@ -81,10 +108,6 @@ def apply_version(files: DataFrame, bridge: DataFrame, snapshot: DataFrame, vid:
     content of a deleted one is a rename (R on both ends and a moved row; a deleted path gives its content to one added
     path, by order); other added paths open with A; unchanged ones keep their fid. Ids follow the order of paths.
     """
-    from pyspark.sql.window import Window
-
-    from treeloom.runtime import dense_ids, materialize
-
     active = files.filter("vid_e = 0").select("fid", F.col("path").alias("opath"), F.col("content").alias("ocontent"))
     both = active.join(snapshot, F.col("opath") == F.col("path"), "full")
     op = F.when(F.col("opath").isNull(), "A").when(F.col("path").isNull(), "D").when(~F.col("ocontent").eqNullSafe(F.col("content")), "M").otherwise("=")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +14,11 @@ from treeloom.sources.catalog import SPECS, seed
 
 
 class ParquetEngine:
-    """Tables as generations of Parquet folders; a table's current generation changes by one rename of a pointer file."""
+    """Tables as lists of Parquet folders; what a table consists of changes by one rename of a manifest.
+
+    An insert adds a folder, so it costs what it inserts; an update writes the new state. Steps that die before their
+    rename leave the table as it was. One writer for each table at a time.
+    """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -21,27 +27,40 @@ class ParquetEngine:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _generation(self, name: str) -> int:
-        fs, p = self._fs(f"{self.root}/{name}/current")
-        if not fs.exists(p):
-            return 0
-        return max((int(s.getPath().getName()) for s in fs.listStatus(p) if s.getPath().getName().isdigit()), default=0)
+    def _state(self, name: str) -> tuple[int, dict]:
+        """(generation, {"parts": folders, "sorted": columns or null}): 0 where there is no table."""
+        fs, p = self._fs(f"{self.root}/{name}/manifests")
+        n = max((int(s.getPath().getName()) for s in fs.listStatus(p) if s.getPath().getName().isdigit()), default=0) if fs.exists(p) else 0
+        return n, json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.root}/{name}/manifests/{n}").collect())) if n else {"parts": [], "sorted": None}
+
+    def _publish(self, name: str, n: int, parts: list[str], order: list[str] | None) -> None:
+        fs, tmp = self._fs(f"{self.root}/{name}/manifests/.{uuid.uuid4().hex}.tmp")
+        out = fs.create(tmp, False)
+        out.write(bytearray(json.dumps({"parts": parts, "sorted": order}).encode()))
+        out.close()
+        _, final = self._fs(f"{self.root}/{name}/manifests/{n}")
+        if fs.exists(final) or not fs.rename(tmp, final):
+            fs.delete(tmp, False)
+            raise RuntimeError(f"{name} was changed by another writer")
+
+    def _write(self, name: str, df: DataFrame) -> str:
+        part = f"{self.root}/{name}/data/{uuid.uuid4().hex}"
+        df.select(*SPECS[name].columns).write.parquet(part)
+        return part
 
     def exists(self, name: str) -> bool:
-        return self._generation(name) > 0
+        return self._state(name)[0] > 0
 
     def missing(self, names: list[str]) -> list[str]:
         return [n for n in names if not self.exists(n)]
 
     def scan(self, name: str) -> DataFrame:
-        return self.spark.read.schema(SPECS[name].ddl).parquet(f"{self.root}/{name}/data/{self._generation(name)}")
+        return self.spark.read.schema(SPECS[name].ddl).parquet(*self._state(name)[1]["parts"])
 
-    def replace(self, name: str, df: DataFrame) -> None:
+    def replace(self, name: str, df: DataFrame, order: list[str] | None = None) -> None:
         """Write the new full state beside the old one, then make it current."""
-        n = self._generation(name) + 1
-        df.select(*SPECS[name].columns).write.mode("overwrite").parquet(f"{self.root}/{name}/data/{n}")
-        fs, mark = self._fs(f"{self.root}/{name}/current/{n}")
-        fs.create(mark, False).close()
+        n, _ = self._state(name)
+        self._publish(name, n + 1, [self._write(name, df)], order)
 
     def create(self, names: list[str]) -> None:
         """Make missing tables with their seed rows; existing ones stay."""
@@ -54,15 +73,38 @@ class ParquetEngine:
             fs.delete(p, True)
 
     def insert(self, name: str, rows: DataFrame) -> None:
-        self.replace(name, self.scan(name).unionByName(rows.select(*SPECS[name].columns)))
+        """Add rows in a folder of their own; what is stored is not read."""
+        n, state = self._state(name)
+        self._publish(name, n + 1, [*state["parts"], self._write(name, rows)], None)
 
     def update(self, name: str, rows: DataFrame) -> None:
         self.replace(name, upsert(self.scan(name), rows.select(*SPECS[name].columns), SPECS[name].primary))
 
-    def commit(self, staged: dict[str, DataFrame], workers: int = 8) -> None:
-        """Insert into several tables at once, one Spark job each."""
+    def create_index(self, name: str, columns: list[str]) -> None:
+        """Lay the table out in the order of the columns, so that their bounds in the files prune scans; again changes nothing."""
+        if not self.index_exists(name, columns):
+            df = self.scan(name)
+            self.replace(name, df.repartitionByRange(*columns).sortWithinPartitions(*columns), columns)
+
+    def index_exists(self, name: str, columns: list[str]) -> bool:
+        return self._state(name)[1]["sorted"] == columns
+
+    def remove_index(self, name: str, columns: list[str]) -> None:
+        """Forget the order; the rows stay where they are."""
+        n, state = self._state(name)
+        if state["sorted"] == columns:
+            self._publish(name, n + 1, state["parts"], None)
+
+    def commit(self, staged: dict[str, DataFrame], updates: dict[str, DataFrame] | None = None, workers: int = 8) -> None:
+        """Insert into several tables at once and then update them, one Spark job each."""
+        def one(name: str) -> None:
+            if name in staged:
+                self.insert(name, staged[name])
+            if updates and name in updates:
+                self.update(name, updates[name])
+
         with ThreadPoolExecutor(max_workers=workers) as pool:
-            list(pool.map(lambda kv: self.insert(*kv), staged.items()))
+            list(pool.map(one, dict.fromkeys([*staged, *(updates or {})])))
 
 
 class MemoryEngine(ParquetEngine):
@@ -71,6 +113,7 @@ class MemoryEngine(ParquetEngine):
     def __init__(self, spark: SparkSession, root: str = "") -> None:
         super().__init__(spark, root)
         self.tables: dict[str, DataFrame] = {}
+        self.orders: dict[str, list[str] | None] = {}
 
     def exists(self, name: str) -> bool:
         return name in self.tables
@@ -78,8 +121,18 @@ class MemoryEngine(ParquetEngine):
     def scan(self, name: str) -> DataFrame:
         return self.tables[name]
 
-    def replace(self, name: str, df: DataFrame) -> None:
-        self.tables[name] = df.select(*SPECS[name].columns)
+    def replace(self, name: str, df: DataFrame, order: list[str] | None = None) -> None:
+        self.tables[name], self.orders[name] = df.select(*SPECS[name].columns), order
+
+    def insert(self, name: str, rows: DataFrame) -> None:
+        self.replace(name, self.tables[name].unionByName(rows.select(*SPECS[name].columns)))
+
+    def index_exists(self, name: str, columns: list[str]) -> bool:
+        return self.orders.get(name) == columns
+
+    def remove_index(self, name: str, columns: list[str]) -> None:
+        if self.index_exists(name, columns):
+            self.orders[name] = None
 
     def drop(self, names: list[str]) -> None:
         for n in names:
