@@ -95,7 +95,7 @@ class Reader:
     """
 
     def __init__(self, words: dict[str, int] | None = None, hidden: dict[str, str] | None = None, apart: bool = False) -> None:
-        self.words, self.hidden, self.apart, self.cache = words, hidden or {}, apart, {}
+        self.words, self.hidden, self.apart, self.cache, self.meant = words, hidden or {}, apart, {}, {}
         self.longest = max(map(len, self.hidden), default=0)  # longer words can't be one with a letter hidden
 
     def known(self, w: str) -> bool:
@@ -103,6 +103,16 @@ class Reader:
 
     def resolve(self, w: str) -> str:
         """The word meant by a token of lower-case letters, digits and signs."""
+        if self.words is not None and w in self.words and w.isalpha():
+            return w
+        found = self.meant.get(w)
+        if found is None:
+            found = self._resolve(w)
+            if len(w) <= 64:
+                self.meant[w] = found
+        return found
+
+    def _resolve(self, w: str) -> str:
         if _NUMBER.fullmatch(w) and not (w.isalpha()):
             return "<n>"
         if w.isalpha():
@@ -169,30 +179,30 @@ class Reader:
 
     def read(self, text: str, out: list) -> None:
         """Append the ids of a text to ``out``, each line framed by edges."""
-        cache, extend, append = self.cache, out.extend, out.append
-        if len(cache) > CACHE:
-            cache.clear()
+        extend, append, get, fresh = out.extend, out.append, self.cache.get, self._fresh
+        if len(self.cache) > CACHE:
+            self.cache.clear()
+        if len(self.meant) > CACHE:
+            self.meant.clear()
         append(EDGE)
         for line in text.splitlines():
             if _SPACED.search(line):
                 line = _SPACED.sub(lambda m: _GAPS.sub("", m[0]), line)
-            joined = False
-            raws = line.split()
-            for raw in raws:
-                got = cache.get(raw)
-                if got is None:
-                    got = self.chunk(raw)
-                    if len(raw) <= 256:  # longer ones hardly come twice
-                        cache[raw] = got
-                extend(got[0])
-                joined = joined or len(got[1]) > 0
+            got = [get(raw) or fresh(raw) for raw in line.split()]
+            for whole, _ in got:
+                extend(whole)
             append(EDGE)
-            if joined and self.apart:
-                for raw in raws:
-                    got = cache.get(raw) or self.chunk(raw)
-                    extend(got[1] or got[0])
+            if self.apart and any(apart for _, apart in got):
+                for whole, apart in got:
+                    extend(apart or whole)
                 append(EDGE)
 
+    def _fresh(self, raw: str) -> tuple[tuple, tuple]:
+        got = self.chunk(raw)
+        if len(raw) <= 256:  # longer ones hardly come twice
+            self.cache[raw] = got
+        return got
+
 
 def _repaired(s: str) -> str:
     for codec in ("latin-1", "cp1252"):
@@ -432,14 +442,19 @@ class _Lookup:
 
 
 class Scorer:
-    """Scores texts with a model of :func:`train`, and with the ``caps`` of :func:`caps_of` where there are any."""
+    """Scores texts with a model of :func:`train`; ``corrected`` also knows the caps of :func:`caps_of`."""
 
-    def __init__(self, model: dict, caps: dict[int, tuple[np.ndarray, np.ndarray]] | None = None) -> None:
+    def __init__(self, model: dict) -> None:
         self.reader = Reader(model["words"], model["hidden"], True)
         self.size = np.int64(model["size"])
         self.tri, self.ctx, self.bi = (_Lookup(*model[k]) for k in ("tri", "ctx", "bi"))
         self.mid = model["mid"].astype(np.float32)
-        self.caps = {k: _Lookup(*v) for k, v in (caps or {}).items() if len(v[0])}
+        self.caps: dict[int, _Lookup] = {}
+
+    def limited(self, caps: dict[int, tuple[np.ndarray, np.ndarray]]) -> Scorer:
+        """The same scorer, with other caps."""
+        self.caps = {k: _Lookup(*v) for k, v in caps.items() if len(v[0])}
+        return self
 
     def ratios(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ratio, kind, key): log ratio of each id, given the two before (edges cut), and what of the model it comes from."""
@@ -564,11 +579,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[bytes, list[int]]:
 _SCORERS: dict[int, Scorer] = {}
 
 
-def _scorer(name: int, data: bytes, caps: bytes | None = None) -> Scorer:
+def _scorer(name: int, data: bytes) -> Scorer:
     """One scorer in each Python worker, made anew for another model."""
     if name not in _SCORERS:
         _SCORERS.clear()
-        _SCORERS[name] = Scorer(pickle.loads(data), pickle.loads(caps) if caps else None)
+        _SCORERS[name] = Scorer(pickle.loads(data))
     return _SCORERS[name]
 
 
@@ -621,33 +636,39 @@ def scores(docs: DataFrame, model: bytes, bad_ids: list[int]) -> DataFrame:
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(name, shared.value)
         for b in batches:
-            found: list = []
-            for bad, above in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids, start = scorer.laid_out(above)
-                ratio, kind, key = scorer.ratios(ids)
-                _, lo, hi = best_spans(ratio, start, MOST)
-                inside = np.zeros(len(ids) + 1, np.int64)
-                np.add.at(inside, lo, 1)
-                np.add.at(inside, hi + 1, -1)
-                use = (np.cumsum(inside[:-1]) > 0) & (ratio > MEAN)
-                found += [(*x, bad) for x in set(zip(kind[use].tolist(), key[use].tolist(), strict=True))]
-            k, x, bad = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(x, pa.int64()), pa.array(bad, pa.int32())], names=["kind", "key", "bad"])
+            if not b.num_rows:
+                continue
+            above = b.column(1).to_pylist()
+            ids, start = scorer.laid_out([s for a in above for s in a])
+            doc = np.repeat(np.arange(len(above)), [sum(len(s) + 1 for s in a) for a in above])
+            ratio, kind, key = scorer.ratios(ids)
+            _, lo, hi = best_spans(ratio, start, MOST)
+            inside = np.zeros(len(ids) + 1, np.int64)
+            np.add.at(inside, lo, 1)
+            np.add.at(inside, hi + 1, -1)
+            use = (np.cumsum(inside[:-1]) > 0) & (ratio > MEAN)
+            doc, kind, key = doc[use], kind[use], key[use]
+            order = np.lexsort((key, kind, doc))  # each of a document's keys once
+            doc, kind, key = doc[order], kind[order], key[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (kind[1:] != kind[:-1]) | (key[1:] != key[:-1])
+            bad = b.column(0).to_numpy()[doc[new]]
+            yield pa.RecordBatch.from_arrays([pa.array(kind[new], pa.int32()), pa.array(key[new], pa.int64()), pa.array(bad, pa.int32())], names=["kind", "key", "bad"])
 
     ids = spark.createDataFrame([(i,) for i in bad_ids], "id long").withColumn("bad", F.lit(1))
     marked = read.filter("size(above) > 0").join(F.broadcast(ids), F.col("doc_id") == F.col("id"), "left").select(F.coalesce("bad", F.lit(0)).alias("bad"), "above")
     # One row for each toxic part of the model: its number is bounded by that of the sample.
     counts = marked.mapInArrow(keys, "kind int, key long, bad int").groupBy("kind", "key").agg(F.count(F.lit(1)).alias("docs"), F.sum("bad").alias("bad")).toPandas()
     caps = pickle.dumps(caps_of(*(counts[c].to_numpy(t) for c, t in (("kind", np.int64), ("key", np.int64), ("docs", float), ("bad", float)))))
-    shared_caps, again = spark.sparkContext.broadcast(caps), hash((model, caps))
+    shared_caps = spark.sparkContext.broadcast(caps)
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _scorer(name, shared.value).limited(pickle.loads(shared_caps.value))
         for b in batches:
             value = b.column(2).to_numpy().copy()
             above = b.column(3).to_pylist()
             flat = [s for a in above for s in a]
             if flat:
-                scorer = _scorer(again, shared.value, shared_caps.value)
                 np.maximum.at(value, np.repeat(np.arange(len(above)), [len(a) for a in above]), np.maximum(scorer.corrected(flat), -10.0))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(value)], names=["doc_id", "source", "total"])
 
