@@ -136,6 +136,8 @@ def test_snapshot_changes(spark, bits):
             elif state[a][k] != state[b][k]:
                 want.append((b, k, "M"))
     assert rows(snapshots.merkle_changes(df, "vid", "fnid", "fid", leaf_bits=bits)) == sorted(want, key=repr)
+    known = snapshots.leaf_digests(df.filter("vid <= 2"), "vid", "fnid", "fid", bits or 3)  # stored before
+    assert rows(snapshots.merkle_changes(df, "vid", "fnid", "fid", leaf_bits=bits or 3, known=known)) == sorted(want, key=repr)
 
 
 def test_no_snapshot(spark):
