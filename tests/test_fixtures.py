@@ -1,5 +1,6 @@
 """Hand-derived fixtures of the versioned model."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +63,22 @@ def test_snapshots_as_a_stream(spark, tmp_path):
     assert t.last == 2 and t.files.count() == 10 and SNAPSHOT.startswith("vid")
 
 
+def test_a_restarted_stream_goes_on(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for v in (1, 2):
+        snapshot(spark, v).select("vid", "path", "content", "ftype").coalesce(1).write.parquet(f"{tmp_path}/v{v}")
+        next((tmp_path / f"v{v}").glob("*.parquet")).rename(tmp_path / "in" / f"{v}.parquet")
+        t = VersionedTree(spark, f"file://{tmp_path}/tree")  # a new driver
+        t.follow(f"{tmp_path}/in", f"{tmp_path}/cp").awaitTermination()
+    whole = VersionedTree(spark)
+    for v in (1, 2):
+        whole.add(snapshot(spark, v), v)
+    again = VersionedTree(spark, f"file://{tmp_path}/tree")
+    for name in ("files", "bridge", "moved"):
+        assert rows(getattr(again, name)) == rows(getattr(t, name)) == rows(getattr(whole, name))
+    assert again.last == 2
+
+
 def test_tags_of_a_changed_file(spark):
     def lines(code, *names):
         return source_text.source_lines(spark.createDataFrame([(1, code)], "fid long, t string"), "fid", "t").filter("code <> ''")
@@ -87,16 +104,20 @@ def test_container_depths(spark):
     want = [("all", n, d) for n, d in ((10, 0), (11, 1), (12, 1), (13, 2), (20, None), (21, None))] + [("cyc", 20, 0), ("cyc", 21, 0)]
     assert rows(got) == sorted(want, key=repr)
     chain = spark.createDataFrame([(1, i, i + 1) for i in range(1, 31)], "g long, p long, c long")
-    assert rows(browse.container_depths(chain, "g", "p", "c")) == sorted([(1, i, i - 1) for i in range(1, 32)], key=repr)
+    for most in (1_000_000, 5):  # in one task, and level by level
+        assert rows(browse.container_depths(chain, "g", "p", "c", most)) == sorted([(1, i, i - 1) for i in range(1, 32)], key=repr)
+    batches = [pa.RecordBatch.from_pydict({"g": [g], "p": [p], "c": [c]}) for g, p, c in ((1, 1, 2), (1, 2, 3), (2, 5, 6), (3, 7, 8), (3, 8, 7))]
+    assert sorted(tuple(r.values()) for b in browse._search(iter(batches)) for r in b.to_pylist()) == [(1, 1, 0), (1, 2, 1), (1, 3, 2), (2, 5, 0), (2, 6, 1), (3, 7, 0), (3, 8, 0)]
 
 
 def test_bounded_tree(spark):
-    edges = spark.createDataFrame(EDGES, "ast_id long, priority int, ref_ast_id long")
-    ast = spark.createDataFrame([(20, "n20", 27)], "ast_id long, name string, type_id short")
+    edges = spark.createDataFrame([(a, p, 30, c) for a, p, c in [*EDGES, (20, 1, 22)]], "ast_id long, priority int, type_id short, ref_ast_id long")
+    ast = spark.createDataFrame([(20, "n20", 27), (21, "n21", None)], "ast_id long, name string, type_id short")
     roots = spark.createDataFrame([(20,), (99,)], "node long")
-    got = browse.bounded_tree(roots, edges, ast, catalog.type_descriptor(spark), 3).select("root", "path", "node", "depth", "name", "type_name")
-    assert rows(got) == [
-        (20, "", 20, 0, "n20", "C_struct"), (20, "0", 21, 1, "Unknown", "Undefined"), (20, "0.0", 20, 2, "n20", "C_struct"), (99, "", 99, 0, "Unknown", "Undefined"),
+    debug = spark.createDataFrame([(21, "{}")], "ast_id long, ast_raw string")
+    got = browse.bounded_tree(roots, edges, ast, catalog.type_descriptor(spark), 3, debug).select("root", "path", "node", "depth", "relation", "name", "type_name", "ast_raw")
+    assert rows(got) == [  # node 22 is missing, so it is left out; 20 comes again below itself, without children
+        (20, "", 20, 0, None, "n20", "C_struct", None), (20, "0", 21, 1, "C_enum", "n21", None, "{}"), (20, "0.0", 20, 2, "C_enum", "n20", "C_struct", None), (99, "", 99, 0, None, "Unknown", "Undefined", None),
     ]
     with pytest.raises(ValueError, match="depth"):
         browse.bounded_tree(roots, edges, ast, catalog.type_descriptor(spark), 11)
@@ -180,6 +201,8 @@ def test_scalars(spark):
     assert value(text.qualifiers(F.col("c0")), 5) == [16, 18] and value(text.joined_lines(F.col("c0")), "a\\\nb") == "ab"
     assert value(text.hard_wrapped(F.col("c0"), 3), "abcdefg") == ["abc", "def", "g"]
     assert value(source_text.macro_arguments(F.col("c0")), "#define M(a, b ,c) x") == ["a", "b", "c"]
+    for code, args in (("#define M(a, (b, c), f(g(x), y)) z(1)", ["a", "(b, c)", "f(g(x), y)"]), ("#define M() 1", []), ("#define M(a, b", []), ("#define M (a)", []), ("x", [])):
+        assert value(source_text.macro_arguments(F.col("c0")), code) == args, code
 
 
 def test_extents(spark):

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -53,9 +53,24 @@ def directive_rows(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def macro_arguments(code: Column) -> Column:
-    """Parameter names of a define with ``(`` right after its name; empty if it has none."""
-    inside = F.regexp_extract(code, "^[ \\t]*#[ \\t]*define[ \\t]+[A-Za-z_][A-Za-z_0-9]*\\(([^)]*)\\)", 1)
-    return F.filter(F.transform(F.split(inside, ","), lambda x: F.trim(x)), lambda x: x != "")
+    """Arguments of a define with ``(`` right after its name, up to the bracket that closes it; commas inside brackets part
+    nothing. Empty for other lines, without arguments, and where the bracket is not closed.
+    """
+    rest = F.regexp_extract(code, "^[ \\t]*#[ \\t]*define[ \\t]+[A-Za-z_][A-Za-z_0-9]*\\((.*)$", 1)
+    start = F.struct(F.lit(1).alias("depth"), F.lit("").alias("arg"), F.array().cast("array<string>").alias("args"))
+
+    def step(acc: Column, c: Column) -> Column:
+        depth, arg, args = acc["depth"], acc["arg"], acc["args"]
+        after = F.when(depth == 0, 0).when(c == "(", depth + 1).when(c == ")", depth - 1).otherwise(depth)
+        ends = (depth == 1) & c.isin(",", ")")
+        return F.struct(
+            after.alias("depth"), F.when((depth == 0) | ends, F.lit("")).otherwise(F.concat(arg, c)).alias("arg"),
+            F.when(ends, F.concat(args, F.array(arg))).otherwise(args).alias("args"),
+        )
+
+    read = F.aggregate(F.split(rest, ""), start, step)
+    args = F.filter(F.transform(read["args"], lambda x: F.trim(x)), lambda x: x != "")
+    return F.when(rest == "", F.array().cast("array<string>")).when(read["depth"] == 0, args).otherwise(F.array().cast("array<string>"))
 
 
 def conditional_scopes(directives: DataFrame, key: str) -> DataFrame:
@@ -127,20 +142,55 @@ def tokens_of(text: str) -> list[tuple[str, str, int, int, int, int]]:
 
 
 def tokens(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pos, kind, spelling, line_s, char_s, line_e, char_e) of every C token of every text."""
-    kind = dict(df.dtypes)[key]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["kind", "spelling", "line_s", "char_s", "line_e", "char_e"]
-        for f in frames:
-            for k, t in zip(f[key], f[text], strict=True):
-                if t:
-                    got = pd.DataFrame(tokens_of(t), columns=names)
-                    got.insert(0, key, k)
-                    got.insert(1, "pos", range(len(got)))
-                    yield got
-
-    return df.select(key, text).filter(F.col(text).isNotNull()).mapInPandas(run, f"{key} {kind}, pos int, kind string, spelling string, line_s int, char_s int, line_e int, char_e int")
+    """(key, pos, kind, spelling, line_s, char_s, line_e, char_e) of every C token of every text.
+
+    A null or empty text has none. Of a batch of texts one batch of tokens comes out.
+    """
+    kind = df.select(key).schema[0].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.string(), pa.string(), *[pa.int32()] * 4]
+        for b in batches:
+            found = [tokens_of(t) if t else [] for t in b.column(1).to_pylist()]
+            sizes = [len(f) for f in found]
+            columns = list(zip(*(x for f in found for x in f), strict=True)) or [()] * len(types)
+            rows = pa.array([i for i, n in enumerate(sizes) for _ in range(n)], pa.int32())
+            pos = pa.array([j for n in sizes for j in range(n)], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), pos, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[key, "pos", "kind", "spelling", "line_s", "char_s", "line_e", "char_e"])
+
+    return df.select(key, text).filter(F.col(text).isNotNull()).mapInArrow(run, f"`{key}` {kind.simpleString()}, pos int, kind string, spelling string, line_s int, char_s int, line_e int, char_e int")
+
+
+def brace_zones(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, zone, level, pos_s, pos_e, line_s, line_e) of what stands between matching braces, from the tokens.
+
+    ``zone`` counts opening braces from 1, ``level`` is the number of zones around and including it. A zone that is not
+    closed ends at null; a closing brace without an opening one is none. One sort of the braces of each text.
+    """
+    braces = tokens(df, key, text).filter("spelling in ('{', '}')").select(key, "pos", F.col("line_s").alias("line"), F.when(F.col("spelling") == "{", 1).otherwise(-1).alias("step"))
+    w = Window.partitionBy(key).orderBy("pos")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    d = braces.withColumn("sum", F.sum("step").over(upto))
+    # Stray closing braces lift what follows them.
+    d = d.withColumn("low", F.least(F.lit(0), F.min("sum").over(upto))).withColumn("was", F.coalesce(F.lag("low").over(w), F.lit(0)))
+    d = d.filter("not (step = -1 and low < was)").withColumn("level", F.col("sum") - F.col("low") + F.when(F.col("step") == -1, 1).otherwise(0))
+    d = d.withColumn("zone", F.sum(F.when(F.col("step") == 1, 1).otherwise(0)).over(upto))
+    at = Window.partitionBy(key, "level").orderBy("pos")
+    nxt = F.lead("step").over(at)
+    close = lambda c: F.when(nxt == -1, F.lead(c).over(at))
+    d = d.withColumn("pos_e", close("pos")).withColumn("line_e", close("line"))
+    return d.filter("step = 1").select(key, F.col("zone").cast("int").alias("zone"), F.col("level").cast("int").alias("level"), F.col("pos").alias("pos_s"), "pos_e", F.col("line").alias("line_s"), "line_e")
+
+
+def condition_text(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, line, word, expression) of #if and #elif lines: the spellings of the tokens after the word, without spaces.
+
+    Lines without a token after the word have an empty expression; comments are no tokens of it.
+    """
+    heads = directive_rows(df, key, text).filter("word in ('if', 'elif')").select(key, "line", "word", F.concat_ws("\u0001", F.col(key).cast("string"), F.col("line").cast("string")).alias("_at"), "rest")
+    t = tokens(heads, "_at", "rest").filter("kind <> 'comment'")
+    spelled = t.groupBy("_at").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "spelling"))), lambda x: x["spelling"]), "").alias("expression"))
+    return heads.join(spelled, "_at", "left").select(key, "line", "word", F.coalesce("expression", F.lit("")).alias("expression"))
 
 
 def declarations(df: DataFrame, key: str, text: str) -> DataFrame:

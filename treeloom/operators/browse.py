@@ -111,20 +111,31 @@ def file_detail(
     return t.join(nested, "tag_id", "left").withColumn("maps", F.coalesce("maps", empty))
 
 
-def tag_detail(tag_id: int, bridge: DataFrame, tags: DataFrame, ast: DataFrame, types: DataFrame) -> DataFrame:
-    """One tag, its first row by (vid_s, fid, place): the place by a left join, the node by an inner one."""
-    one = tags.filter(F.col("tag_id") == tag_id).select("tag_id", "vid_s", "vid_e", "code", "ast_id").distinct()
+def tag_detail(
+    tag_id: int, bridge: DataFrame, tags: DataFrame, ast: DataFrame, types: DataFrame,
+    maps: DataFrame | None = None, bridge_map: DataFrame | None = None, debug: DataFrame | None = None,
+) -> DataFrame:
+    """One tag, its first row by (vid_s, fid, place): the place by a left join, the node by an inner one, debug text, and
+    with ``maps`` and ``bridge_map`` its extents in order of place as an array (empty without any).
+    """
+    one = tags.filter(F.col("tag_id") == tag_id).select("tag_id", "vid_s", "vid_e", "code", "ast_id", "hl_s", "hl_l").distinct()
     b = bridge.filter(F.col("tag_id") == tag_id).select("tag_id", "fid", "line_s", "line_e", "char_s", "char_e").distinct()
     a = ast.select("ast_id", F.col("name").alias("ast_name"), "type_id").distinct()
     names = F.broadcast(types.select(F.col("type_id").alias("_t"), F.col("name").alias("type_name")))
-    return one.join(b, "tag_id", "left").join(a, "ast_id").join(names, F.col("type_id") == F.col("_t"), "left").drop("_t").orderBy("vid_s", "fid", "line_s", "char_s", "line_e", "char_e").limit(1)
+    row = one.join(b, "tag_id", "left").join(a, "ast_id").join(names, F.col("type_id") == F.col("_t"), "left").drop("_t").orderBy("vid_s", "fid", "line_s", "char_s", "line_e", "char_e", "code", "ast_name").limit(1)
+    row = _with_debug(row, debug)
+    if maps is None or bridge_map is None:
+        return row
+    m = map_rows(maps, ast, types, bridge_map.filter(F.col("tag_id") == tag_id))
+    nested = m.groupBy("tag_id").agg(F.array_sort(F.collect_list(F.struct("line_s", "char_s", "line_e", "char_e", "map_id", "ast_id", "ast_name", "type_id", "type_name"))).alias("maps"))
+    return row.join(nested, "tag_id", "left").withColumn("maps", F.coalesce("maps", F.array().cast(nested.schema["maps"].dataType)))
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(g, n, d) of whole groups of links (g, p, c), which arrive one after the other: breadth-first search in memory."""
     held: list[pa.RecordBatch] = []
 
-    def depths(g: int, links: list[tuple[int, int]]) -> tuple[list, list, list]:
+    def depths(g: object, links: list[tuple[int, int]]) -> tuple[list, list, list]:
         below: dict[int, list[int]] = {}
         for p, c in links:
             below.setdefault(p, []).append(c)
@@ -149,7 +160,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [depths(g[a], list(zip(p[a:b], c[a:b], strict=True))) for a, b in zip(starts[:whole], ends[:whole], strict=True)]
         held[:] = t.slice(ends[whole - 1] if whole else 0).to_batches()
         out = [[x for part in parts for x in part[i]] for i in range(3)]
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32())], names=["g", "n", "d"])
+        return pa.RecordBatch.from_arrays([pa.array(out[0], t.schema.field(0).type), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32())], names=["g", "n", "d"])
 
     last = None
     for b in batches:
@@ -170,11 +181,11 @@ def container_depths(edges: DataFrame, group: str, parent: str, child: str, most
     distinct links is searched in one task; greater ones, level by level over all tasks, give the same.
     """
     e = without_zero(without_zero(edges, parent), child).filter(F.col(group).isNotNull())
-    e = materialize(e.select(F.col(group).cast("long").alias("g"), F.col(parent).cast("long").alias("p"), F.col(child).cast("long").alias("c")).distinct(), "edges")
+    e = materialize(e.select(F.col(group).alias("g"), F.col(parent).cast("long").alias("p"), F.col(child).cast("long").alias("c")).distinct(), "edges")
     large = materialize(e.groupBy("g").count().filter(F.col("count") > most).select("g"), "large")
     n = large.count()
     small = e.join(broadcast_if_small(large, n), "g", "left_anti") if n else e
-    out = small.repartition("g").sortWithinPartitions("g").mapInArrow(_search, "g long, n long, d int")
+    out = small.repartition("g").sortWithinPartitions("g").mapInArrow(_search, f"g {dict(e.dtypes)['g']}, n long, d int")
     if n:
         out = out.unionByName(_depths_by_level(materialize(e.join(broadcast_if_small(large, n), "g", "left_semi"), "edges")))
     return out.select(F.col("g").alias(group), F.col("n").alias("node"), F.col("d").alias("depth"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from treeloom.runtime import broadcast_if_small, new_path
+from treeloom.runtime import broadcast_if_small, new_path, publish, published
 
 KEY = ["kind", "key_id"]
 
@@ -145,25 +145,11 @@ class ChainStore:
     def __init__(self, spark: SparkSession, root: str | None = None, buckets: int = 64, files: int = 1) -> None:
         self.spark, self.root, self.buckets, self.files = spark, (root or new_path(spark, "chains")), buckets, files
 
-    def _fs(self, path: str):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
-
     def _manifest(self) -> tuple[int, dict]:
-        """(generation, manifest): 0 and an empty one before the first."""
-        fs, p = self._fs(f"{self.root}/manifests")
-        n = max((int(s.getPath().getName()) for s in fs.listStatus(p) if s.getPath().getName().isdigit()), default=0) if fs.exists(p) else 0
-        return n, json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.root}/manifests/{n}").collect())) if n else {}
+        return published(self.spark, f"{self.root}/manifests")
 
     def _publish(self, n: int, manifest: dict) -> None:
-        fs, tmp = self._fs(f"{self.root}/manifests/.{uuid.uuid4().hex}.tmp")
-        out = fs.create(tmp, False)
-        out.write(bytearray(json.dumps(manifest).encode()))
-        out.close()
-        _, final = self._fs(f"{self.root}/manifests/{n}")
-        if fs.exists(final) or not fs.rename(tmp, final):
-            fs.delete(tmp, False)
-            raise RuntimeError(f"generation {n} was published by another writer")
+        publish(self.spark, f"{self.root}/manifests", n, manifest)
 
     def _bucket(self, df: DataFrame) -> DataFrame:
         return df.withColumn("bucket", F.pmod(F.xxhash64(*KEY), F.lit(self.buckets)).cast("int"))
@@ -188,8 +174,8 @@ class ChainStore:
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def _exists(self, path: str) -> bool:
-        fs, p = self._fs(path)
-        return fs.exists(p)
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
     def replace(self, touched: DataFrame, chains: DataFrame) -> None:
         """Put ``chains`` in place of all versions of the ``touched`` entities. The store may be empty before."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -22,6 +22,22 @@ def contains(outer: str, inner: str) -> Column:
     return le(f"{outer}line_s", f"{outer}char_s", f"{inner}line_s", f"{inner}char_s") & le(f"{inner}line_e", f"{inner}char_e", f"{outer}line_e", f"{outer}char_e")
 
 
+def containing_pairs(df: DataFrame, group: str, block: int = 64) -> DataFrame:
+    """(group, a_..., b_...): the extents of a group that hold another one, and the one they hold; equal rows count once.
+
+    An inner extent starts on a line of the outer one, so both meet in the block of lines where the inner one starts: a
+    group with very many extents is split by blocks, and only an extent of many lines goes to several. Extents with a
+    null bound or that end before they start take no part.
+    """
+    cols = ("line_s", "char_s", "line_e", "char_e")
+    whole = df.filter(" and ".join(f"{c} is not null" for c in (group, *cols)) + " and line_e >= line_s").select(group, *cols).distinct()
+    nth = lambda c: F.floor(F.col(c) / block)
+    a = whole.select(group, *(F.col(c).alias(f"a_{c}") for c in cols), F.explode(F.sequence(nth("line_s"), nth("line_e"))).alias("_block"))
+    b = whole.select(group, *(F.col(c).alias(f"b_{c}") for c in cols), nth("line_s").alias("_block"))
+    differ = F.struct(*(f"a_{c}" for c in cols)) != F.struct(*(f"b_{c}" for c in cols))
+    return a.join(b, [group, "_block"]).filter(differ & contains("a_", "b_")).drop("_block")
+
+
 def equal(a: str, b: str) -> Column:
     return start(a).eqNullSafe(start(b)) & end(a).eqNullSafe(end(b))
 

@@ -288,6 +288,19 @@ def file_detail_rows(spark, d):
     )
 
 
+@query(f"""with one as (select t.tag_id, t.vid_s, t.code, t.hl_s, t.hl_l, b.fid, b.line_s, a.name ast_name, g.ast_raw
+  from (select distinct * from m_tag where tag_id = 1500) t left join (select distinct * from m_bridge_tag) b on b.tag_id = t.tag_id join (select distinct * from m_ast) a on t.ast_id = a.ast_id left join {_DEBUG_SQL} g on g.ast_id = a.ast_id
+  order by t.vid_s nulls first, b.fid nulls first, b.line_s nulls first, b.char_s nulls first, b.line_e nulls first, b.char_e nulls first, t.code nulls first, a.name nulls first limit 1)
+select o.*, m.line_s map_line_s, m.line_e map_line_e, m.ast_name map_name, m.type_name map_type from one o left join ({_MAPS_SQL}) m on m.tag_id = o.tag_id""")
+def tag_detail_rows(spark, d):
+    """One tag whole, its nested extents taken apart again."""
+    b, t, a, m = (table(spark, d, n) for n in ("m_bridge_tag", "m_tag", "m_ast", "m_map_ast"))
+    one = browse.tag_detail(1500, b, t, a, type_descriptor(spark), m, _bridge_map(spark, d), _debug(spark, d)).withColumn("m", F.explode_outer("maps"))
+    return one.select(
+        "tag_id", "vid_s", "code", "hl_s", "hl_l", "fid", "line_s", "ast_name", "ast_raw", F.col("m.line_s").alias("map_line_s"), F.col("m.line_e").alias("map_line_e"), F.col("m.ast_name").alias("map_name"), F.col("m.type_name").alias("map_type"),
+    )
+
+
 @query(f"""with p as (select vid, vname, unnest(range(1, len(string_split(fname, '/')) + 1)) i, string_split(fname, '/') s from {_AT_SQL} where fname <> '')
 select vname, array_to_string(s[1:i - 1], '/') dir, s[i] as name, max(i < len(s)) is_dir from p group by 1, 2, 3""")
 def browse_everything(spark, d):

@@ -32,6 +32,20 @@ def query(sql: str | None = None):
     return add
 
 
+#: Invented texts for what the documents lack: macros with arguments, conditions that nest, are open or stray, braces.
+_INVENTED = (
+    (-1, "#define MAX(a, b) ((a) > (b) ? (a) : (b))\n#define F( x , g(y, z) ,...) x\n#define OPEN(a, b\n#define NONE() 1\n #  define S(a) #a\n#define PLAIN (1)"),
+    (-2, "#ifdef A\nint x;\n#elif defined( B ) && C > 1 // c\n#if D\n#endif\n#else\n#endif\n#endif\n#if E\n#else\n#ifndef G\n#endif"),
+    (-3, "int f(void) {\n  if (x) { y(); } }\n} struct s { int a; };\nenum e {"),
+    (-4, "#ifdef CONFIG_A\n#ifdef\tCONFIG_B\n  #ifdef C\n#endif\n#elif"),
+)
+_DOCS_SQL = "(select doc_id, text from documents union all select * from (values " + ", ".join(f"({i}, '{t}')" for i, t in _INVENTED) + ") t(doc_id, text))"
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "text").unionByName(spark.createDataFrame(_INVENTED, "doc_id long, text string"))
+
+
 def _tables(spark: SparkSession, d: str, *names: str) -> list[DataFrame]:
     return [table(spark, d, n) for n in names]
 
@@ -175,7 +189,7 @@ join (select distinct * from m_ast) a on t.ast_id = a.ast_id left join {_TYPE_SQ
 @query(_TAG_ROWS_SQL)
 def tag_rows(spark, d):
     b, t, a = _tables(spark, d, "m_bridge_tag", "m_tag", "m_ast")
-    return browse.tag_rows(b, t, a, type_descriptor(spark))
+    return browse.tag_rows(b, t, a, type_descriptor(spark)).drop("hl_s", "hl_l", "ast_raw")
 
 
 @query(f"""select m.map_id, m.line_s, m.char_s, m.line_e, m.char_e, m.ast_id, a.name ast_name, a.type_id, y.name type_name
@@ -494,14 +508,6 @@ def tag_recycle(spark, d):
     return tags.match(prior, nodes, ["fid"], "code", ["pl", "pc", "tag_id"], ["line_s", "char_s"])
 
 
-@query("""select t.tag_id, t.vid_s, case when t.vid_e = 0 and t.tag_id not in (select tag_id from m_bridge_tag) then 7 else t.vid_e end vid_e from (select distinct tag_id, vid_s, vid_e from m_tag) t""")
-def tag_close(spark, d):
-    t, b = _tables(spark, d, "m_tag", "m_bridge_tag")
-    rows = t.select("tag_id", "vid_s", "vid_e").distinct()
-    gone = rows.select("tag_id").distinct().join(b.select("tag_id").distinct(), "tag_id", "left_anti").withColumn("op", F.lit("CLOSE"))
-    return tags.closed(rows, gone, 8)
-
-
 @query("""select f.fnid, f.fid, b.tag_id, b.line_s, b.line_e, b.char_s, b.char_e, t.vid_s, t.vid_e, t.code, t.ast_id
 from (select distinct fnid, fid from m_bridge_file where vid = 8 and fnid is not null) f join (select distinct * from m_bridge_tag) b on f.fid = b.fid join (select distinct tag_id, vid_s, vid_e, code, ast_id from m_tag) t on b.tag_id = t.tag_id""")
 def prior_tags(spark, d):
@@ -558,14 +564,14 @@ def tag_detail(spark, d):
     return browse.tag_detail(1500, b, t, a, type_descriptor(spark)).select("tag_id", "vid_s", "vid_e", "code", "ast_id", "fid", "line_s", "line_e", "char_s", "char_e", "ast_name", "type_id", "type_name")
 
 
-_FILE_EDGES = """select distinct i.fid, c.ast_id p, c.ref_ast_id c from (select distinct b.fid, t.ast_id from m_bridge_tag b join m_tag t on b.tag_id = t.tag_id where t.ast_id <> 0) i
+_FILE_EDGES = """select distinct i.fid, c.ast_id p, c.ref_ast_id c from (select distinct b.fid, t.ast_id from m_bridge_tag b join m_tag t on b.tag_id = t.tag_id where t.ast_id <> 0 and b.fid is not null) i
 join m_ast_container c on (i.ast_id = c.ast_id or i.ast_id = c.ref_ast_id) where c.ref_ast_id <> 0 and c.ast_id <> 0"""
 
 
 @query(f"""with recursive e as ({_FILE_EDGES}),
 heads as (select distinct fid, p from e), roots as (select fid, p from heads h where not exists (select 1 from e where e.fid = h.fid and e.c = h.p)),
 start as (select * from roots union select * from heads h where not exists (select 1 from roots r where r.fid = h.fid)),
-w(fid, node, depth) as (select fid, p, 0 from start union select w.fid, e.c, w.depth + 1 from w join e on e.fid = w.fid and e.p = w.node where w.depth < 200),
+w(fid, node, depth) as (select fid, p, 0 from start union select w.fid, e.c, w.depth + 1 from w join e on e.fid = w.fid and e.p = w.node where w.depth < 400),
 n as (select fid, p node from e union select fid, c from e)
 select n.fid, n.node, min(w.depth) depth from n left join w on n.fid = w.fid and n.node = w.node group by 1, 2""")
 def container_depth(spark, d):
@@ -576,30 +582,30 @@ def container_depth(spark, d):
     return browse.container_depths(edges, "fid", "p", "c")
 
 
-@query(f"""with recursive e as (select distinct ast_id p, priority, ref_ast_id c from m_ast_container where ref_ast_id <> 0),
-w(root, path, node, depth, priority, seen, again) as (
-  select ast_id, '', ast_id, 0, cast(null as int), [ast_id], false from (select distinct ast_id from m_ast_include)
-  union all select w.root, case when w.path = '' then '' else w.path || '.' end || e.priority, e.c, w.depth + 1, e.priority, list_append(w.seen, e.c), list_contains(w.seen, e.c)
+@query(f"""with recursive e as (select distinct ast_id p, priority, type_id rel, ref_ast_id c from m_ast_container where ref_ast_id <> 0 and ref_ast_id in (select ast_id from m_ast) and ast_id in (select ast_id from m_ast)),
+w(root, path, node, depth, priority, rel, seen, again) as (
+  select ast_id, '', ast_id, 0, cast(null as int), cast(null as smallint), [ast_id], false from (select distinct ast_id from m_ast_container where ast_id is not null union select -1)
+  union all select w.root, case when w.path = '' then '' else w.path || '.' end || coalesce(cast(e.priority as varchar), ''), e.c, w.depth + 1, e.priority, e.rel, list_append(w.seen, e.c), list_contains(w.seen, e.c)
   from w join e on w.node = e.p where not w.again and w.depth < 3)
-select w.root, w.path, w.node, w.depth, w.priority, case when a.ast_id is null then 'Unknown' else a.name end as name, y.name type_name
-from w left join (select distinct * from m_ast) a on w.node = a.ast_id left join {_TYPE_SQL} y on coalesce(a.type_id, 0) = y.type_id""")
+select w.root, w.path, w.node, w.depth, w.priority, r.name relation, case when a.ast_id is null then 'Unknown' else a.name end as name, cast(case when a.ast_id is null then 0 else a.type_id end as smallint) type_id, y.name type_name,
+  case when a.name is not null and a.type_id is not null then json_object('ast_id', a.ast_id, 'name', a.name, 'type_id', a.type_id)::varchar end ast_raw
+from w left join (select distinct * from m_ast) a on w.node = a.ast_id left join {_TYPE_SQL} y on case when a.ast_id is null then 0 else a.type_id end = y.type_id left join {_TYPE_SQL} r on w.rel = r.type_id""")
 def bounded_tree(spark, d):
-    roots = table(spark, d, "m_ast_include").select(F.col("ast_id").alias("node")).distinct()
-    return browse.bounded_tree(roots, table(spark, d, "m_ast_container"), table(spark, d, "m_ast"), type_descriptor(spark))
+    """The trees below every container, to three levels; one invented root is missing."""
+    c, a = _tables(spark, d, "m_ast_container", "m_ast")
+    roots = c.select(F.col("ast_id").alias("node")).filter("node is not null").unionAll(spark.createDataFrame([(-1,)], "node long")).distinct()
+    debug = debug_json(a.filter("name is not null and type_id is not null").select("ast_id", "name", "type_id").distinct(), "ast_id")
+    return browse.bounded_tree(roots, c, a, type_descriptor(spark), 3, debug)
 
 
 # Extents ----------------------------------------------------------------------------------------------------------
 
-@query("""with m as (select distinct map_id, line_s, char_s, line_e, char_e from m_map_ast where map_id <> 0)
+@query("""with m as (select distinct map_id, line_s, char_s, line_e, char_e from m_map_ast where map_id <> 0 and line_e >= line_s)
 select a.map_id, a.line_s a_line_s, a.char_s a_char_s, a.line_e a_line_e, a.char_e a_char_e, b.line_s b_line_s, b.char_s b_char_s, b.line_e b_line_e, b.char_e b_char_e
 from m a join m b on a.map_id = b.map_id and (a.line_s, a.char_s, a.line_e, a.char_e) <> (b.line_s, b.char_s, b.line_e, b.char_e)
 where (a.line_s < b.line_s or (a.line_s = b.line_s and a.char_s <= b.char_s)) and (b.line_e < a.line_e or (b.line_e = a.line_e and b.char_e <= a.char_e))""")
 def extent_contains(spark, d):
-    cols = ("line_s", "char_s", "line_e", "char_e")
-    m = table(spark, d, "m_map_ast").filter("map_id <> 0 and line_s is not null and line_e is not null and char_s is not null and char_e is not null").select("map_id", *cols).distinct()
-    a, b = (m.select("map_id", *(F.col(c).alias(f"{p}_{c}") for c in cols)) for p in "ab")
-    differ = F.struct(*(f"a_{c}" for c in cols)) != F.struct(*(f"b_{c}" for c in cols))
-    return a.join(b, "map_id").filter(differ & extents.contains("a_", "b_"))
+    return extents.containing_pairs(table(spark, d, "m_map_ast").filter("map_id <> 0"), "map_id")
 
 
 @query("""
@@ -628,18 +634,23 @@ def extent_new_end(spark, d):
 # Text -------------------------------------------------------------------------------------------------------------
 
 _LINES = r"regexp_split_to_array(text, '\r\n|\n|\r')"
-_LINE_ROWS = f"(select doc_id, i as line, l[i] code from (select doc_id, {_LINES} l, unnest(range(1, len({_LINES}) + 1)) i from documents where text is not null))"
+_LINE_ROWS = f"(select doc_id, i as line, l[i] code from (select doc_id, {_LINES} l, unnest(range(1, len({_LINES}) + 1)) i from {_DOCS_SQL} where text is not null))"
 
 
 @query(f"select doc_id, cast(line as int) line, code from {_LINE_ROWS}")
 def line_explode(spark, d):
-    return source_text.source_lines(table(spark, d, "documents"), "doc_id", "text")
+    return source_text.source_lines(_docs(spark, d), "doc_id", "text")
 
 
-@query(f"select doc_id, case when text is null then null when len({_LINES}) = 1 then substring({_LINES}[1], 3) else substring({_LINES}[1], 3) || chr(10) || substring({_LINES}[2], 1, 4) end slice from documents")
+@query(f"""with l as (select doc_id, text, {_LINES} l, 1 + doc_id % 3 ls, doc_id % 5 cs, 1 + doc_id % 3 + doc_id % 2 le, doc_id % 7 ce from documents),
+g as (select *, l[ls:le] got from l),
+c as (select *, list_transform(got, lambda x, i: case when i = len(got) and len(got) = le - ls + 1 and ce > 0 then substring(x, 1, greatest(ce - 1, 0)) else x end) cut from g)
+select doc_id, case when text is null then null else coalesce(array_to_string(list_transform(cut, lambda x, i: case when i = 1 and cs > 1 then substring(x, cs) else x end), chr(10)), '') end slice from c""")
 def line_slice(spark, d):
-    one, two = F.lit(1), F.lit(2)
-    return table(spark, d, "documents").select("doc_id", extents.slice_text(F.col("text"), one, F.lit(3), two, F.lit(5)).alias("slice"))
+    """An extent of each document that depends on its id: start and end columns from 0 (whole line) on, one or two lines."""
+    k = F.col("doc_id")
+    at = [(1 + k % 3).cast("int"), (k % 5).cast("int"), (1 + k % 3 + k % 2).cast("int"), (k % 7).cast("int")]
+    return table(spark, d, "documents").select("doc_id", extents.slice_text(F.col("text"), *at).alias("slice"))
 
 
 @query("select fnid, cast(case when fname like '%.c' or fname like '%.h' then 1 when fname like '%.S' or fname like '%.s' then 4 when fname like '%Kconfig' then 2 when fname like '%.rs' then 3 end as smallint) ftype from m_file_name")
@@ -647,9 +658,11 @@ def classify_ftype(spark, d):
     return table(spark, d, "m_file_name").select("fnid", text.file_type(F.col("fname")).alias("ftype"))
 
 
-@query("select event_id, json_extract_string(props, '$.k') k from events")
+@query("select event_id, json_extract_string(props, '$.k') k from events union all select -1, 'no {json'")
 def json_extract(spark, d):
-    return table(spark, d, "events").select("event_id", text.json_or_text(F.col("props"), "$.k").alias("k"))
+    """A value of a JSON text; one invented text is none and stays as it is."""
+    e = table(spark, d, "events").select("event_id", "props").unionByName(spark.createDataFrame([(-1, "no {json")], "event_id long, props string"))
+    return e.select("event_id", text.json_or_text(F.col("props"), "$.k").alias("k"))
 
 
 @query("select event_id, json_object('event_id', event_id, 'user_id', user_id, 'event_type', event_type)::varchar ast_raw from events")
@@ -657,9 +670,11 @@ def json_debug(spark, d):
     return debug_json(table(spark, d, "events").select("event_id", "user_id", "event_type"), "event_id")
 
 
-@query("select doc_id, text from documents")
+@query("select doc_id, text from documents union all select -1, 'á'")
 def safe_decode(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.safe_decode(F.col("text").cast("binary")).alias("text"))
+    """Bytes as text; one invented row is no UTF-8."""
+    raw = table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("raw"))
+    return raw.unionByName(spark.createDataFrame([(-1, bytearray(b"\xe1"))], "doc_id long, raw binary")).select("doc_id", text.safe_decode(F.col("raw")).alias("text"))
 
 
 @query(r"select doc_id, trim(regexp_replace(text, '[ \t\r\n\f\x0b]+', ' ', 'g'), ' ') t from documents")
@@ -695,7 +710,7 @@ def comment_strip(spark, d):
 
 @query(r"select doc_id, line, 'ifdef' word, regexp_extract(code, '^#ifdef[ \t]+([A-Za-z_][A-Za-z_0-9]*)', 1) as name from (select doc_id, cast(line as int) line, code from " + _LINE_ROWS + r") where regexp_matches(code, '^#ifdef[ \t]+[A-Za-z_]')")
 def ifdef_names(spark, d):
-    rows = source_text.source_lines(table(spark, d, "documents"), "doc_id", "text")
+    rows = source_text.source_lines(_docs(spark, d), "doc_id", "text")
     names = text.ifdef_names(F.col("code"))
     return rows.withColumn("n", names).filter(F.size("n") > 0).select("doc_id", "line", F.lit("ifdef").alias("word"), F.col("n")[0].alias("name"))
 
@@ -708,41 +723,68 @@ from (select *, regexp_extract(code, '^[ \t]*#[ \t]*([a-z]+)', 1) word from {_LI
 @query(rf"""select doc_id, line, word, cast(case when word = 'define' and regexp_matches(rest, '^[A-Za-z_][A-Za-z_0-9]*(\(|[ \t]+[^ \t])') then 55 else {_WORDS} end as int) type_id,
 regexp_extract(rest, '^([A-Za-z_][A-Za-z_0-9]*)', 1) as name, substring(rest, 1, 255) rest from {_DIRECTIVE_SQL}""")
 def directive_classify(spark, d):
-    return source_text.directive_rows(table(spark, d, "documents"), "doc_id", "text")
+    return source_text.directive_rows(_docs(spark, d), "doc_id", "text")
 
 
-@query()
+@query(f"""with d as (select doc_id, line, word, case when word in ('if', 'ifdef', 'ifndef') then 1 when word = 'endif' then -1 else 0 end step from {_DIRECTIVE_SQL}
+  where word in ('if', 'ifdef', 'ifndef', 'elif', 'elifdef', 'elifndef', 'else', 'endif')),
+s as (select *, sum(step) over (partition by doc_id order by line) sm from d),
+l as (select *, least(0, min(sm) over (partition by doc_id order by line)) low, least(0, coalesce(min(sm) over (partition by doc_id order by line rows between unbounded preceding and 1 preceding), 0)) was from s),
+k as (select *, sm - low + case when word = 'endif' then 1 else 0 end depth from l where not (word = 'endif' and low < was) and sm - low + case when word = 'endif' then 1 else 0 end > 0),
+g as (select *, sum(case when step = 1 then 1 else 0 end) over (partition by doc_id, depth order by line) grp from k),
+e as (select *, lead(word) over w nw, lead(line) over w nl from g window w as (partition by doc_id, depth, grp order by line))
+select doc_id, line, word, cast(case when nw is null then 0 when nw = 'endif' then nl else greatest(line, nl - 1) end as int) line_end from e where word <> 'endif'""")
 def cppro_scopes(spark, d):
-    return source_text.conditional_scopes(source_text.directive_rows(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
+    return source_text.conditional_scopes(source_text.directive_rows(_docs(spark, d), "doc_id", "text"), "doc_id")
+
+
+@query(f"""select doc_id, line, word, regexp_replace(regexp_replace(rest, '/[*].*?[*]/|//.*', '', 'g'), '[ \t]+', '', 'g') expression from {_DIRECTIVE_SQL} where word in ('if', 'elif')""")
+def condition_text(spark, d):
+    return source_text.condition_text(_docs(spark, d), "doc_id", "text")
 
 
 @query()
 def token_classify(spark, d):
-    return source_text.tokens(table(spark, d, "documents"), "doc_id", "text")
+    return source_text.tokens(_docs(spark, d), "doc_id", "text")
 
 
 @query()
+def brace_zones(spark, d):
+    return source_text.brace_zones(_docs(spark, d), "doc_id", "text")
+
+
+@query(rf"""with r as (select *, trim(regexp_replace(code, '[ \t]+', ' ', 'g'), ' ') s from {_LINE_ROWS.replace(_DOCS_SQL, "(select doc_id, text from documents where kind = 'asm')")}),
+t as (select * from r where s <> '' and regexp_extract(code, '^[ \t]*#[ \t]*([a-z]+)', 1) not in ({", ".join(f"'{w}'" for w in source_text.DIRECTIVES)})),
+o as (select *, regexp_matches(s, '^\.macro( |$)') opens, coalesce(sum(case when regexp_matches(s, '^\.macro( |$)') then 1 when regexp_matches(s, '^\.endm( |$)') then -1 else 0 end) over (partition by doc_id order by line rows between unbounded preceding and 1 preceding), 0) inside from t)
+select doc_id, cast(line as int) line, cast(case when opens then 62 when regexp_matches(s, '^(#|//|/\*|;|@)') then 66 when regexp_matches(s, '^[A-Za-z_.$0-9][A-Za-z_.$0-9]* ?:') then 65 when starts_with(s, '.') then 63 else 64 end as int) type_id, substring(s, 1, 255) as name
+from o where inside <= 0""")
 def asm_lines(spark, d):
     return source_text.asm_rows(table(spark, d, "documents").filter("kind = 'asm'"), "doc_id", "text")
 
 
 @query()
 def declarations(spark, d):
-    return source_text.declarations(table(spark, d, "documents"), "doc_id", "text")
+    return source_text.declarations(_docs(spark, d), "doc_id", "text")
+
+
+_TARGETS = f"(select doc_id, line, regexp_extract(rest, '^(<[^>]+>|\"[^\"]+\")', 1) target from {_DIRECTIVE_SQL} where word = 'include')"
 
 
-@query(rf"""select doc_id, line, target, 'include/' || substring(target, 2, length(target) - 2) path from (select doc_id, line, regexp_extract(rest, '^(<[^>]+>)', 1) target from {_DIRECTIVE_SQL} where word = 'include') where target <> ''
-union all select doc_id, line, target, 'core/' || substring(target, 2, length(target) - 2) from (select doc_id, line, regexp_extract(rest, '^("[^"]+")', 1) target from {_DIRECTIVE_SQL} where word = 'include') where target <> ''""")
+@query(f"""select t.doc_id, line, target, case when target[1] = '<' then 'include/' else 'core/' || coalesce(kind || '/', '') end || substring(target, 2, length(target) - 2) path
+from {_TARGETS} t join documents using (doc_id) where target <> ''""")
 def include_resolve(spark, d):
-    rows = source_text.directive_rows(table(spark, d, "documents"), "doc_id", "text").filter("word = 'include'")
+    """Includes with their paths; a document is taken for a file in a folder named by its kind."""
+    docs = table(spark, d, "documents")
+    rows = source_text.directive_rows(docs, "doc_id", "text").filter("word = 'include'")
     rows = rows.select("doc_id", "line", F.regexp_extract("rest", '^(<[^>]+>|"[^"]+")', 1).alias("target")).filter("target <> ''")
-    return rows.withColumn("path", text.include_path(F.col("target"), F.lit("core/x.c")))
+    rows = rows.join(docs.select("doc_id", F.concat(F.lit("core/"), F.coalesce(F.concat("kind", F.lit("/")), F.lit("")), F.lit("x.c")).alias("file")), "doc_id")
+    return rows.select("doc_id", "line", "target", text.include_path(F.col("target"), F.col("file")).alias("path"))
 
 
-@query(rf"""select doc_id, cast(line as int) line, array_to_string(list_filter(list_transform(string_split(a, ','), lambda x: trim(x, ' ')), lambda x: x <> ''), '|') args
-from (select doc_id, line, regexp_extract(code, '^[ \t]*#[ \t]*define[ \t]+[A-Za-z_][A-Za-z_0-9]*\(([^)]*)\)', 1) a from {_LINE_ROWS}) where a <> ''""")
+@query(rf"""select doc_id, cast(line as int) line, array_to_string(list_filter(list_transform(regexp_extract_all(a, '(?:[^,()]|\([^()]*\))+'), lambda x: trim(x, ' ')), lambda x: x <> ''), '|') args
+from (select doc_id, line, regexp_extract(code, '^[ \t]*#[ \t]*define[ \t]+[A-Za-z_][A-Za-z_0-9]*\(((?:[^()]|\([^()]*\))*)\)', 1) a from {_LINE_ROWS}) where a <> ''""")
 def macro_arguments(spark, d):
-    rows = source_text.source_lines(table(spark, d, "documents"), "doc_id", "text")
+    rows = source_text.source_lines(_docs(spark, d), "doc_id", "text")
     return rows.select("doc_id", "line", source_text.macro_arguments(F.col("code")).alias("a")).filter(F.size("a") > 0).select("doc_id", "line", F.array_join("a", "|").alias("args"))
 
 
@@ -777,7 +819,7 @@ def pct_of_total(spark, d):
 
 @query(f"select doc_id, grp, count(*) n from (select doc_id, sum(case when code = '' then 1 else 0 end) over (partition by doc_id order by line rows unbounded preceding) grp from {_LINE_ROWS}) group by 1, 2".replace("grp, count", "cast(grp as bigint) grp, count"))
 def group_lines(spark, d):
-    rows = source_text.source_lines(table(spark, d, "documents"), "doc_id", "text")
+    rows = source_text.source_lines(_docs(spark, d), "doc_id", "text")
     return report.grouped_lines(rows, "doc_id", "line", F.col("code") == "").groupBy("doc_id", "grp").agg(F.count(F.lit(1)).alias("n"))
 
 

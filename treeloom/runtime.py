@@ -7,6 +7,7 @@ hot keys (at most ``1 / share`` of them) and one row per Spark partition (offset
 from __future__ import annotations
 
 import atexit
+import json
 import shutil
 import tempfile
 import uuid
@@ -56,6 +57,29 @@ def drop_all(spark: SparkSession) -> None:
     remove_path(spark, f"{shared_dir(spark)}/treeloom/{spark.sparkContext.applicationId}")
 
 
+def published(spark: SparkSession, folder: str) -> tuple[int, dict]:
+    """(generation, state) last published in a folder; (0, {}) before the first."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    n = max((int(s.getPath().getName()) for s in fs.listStatus(p) if s.getPath().getName().isdigit()), default=0) if fs.exists(p) else 0
+    return n, json.loads("\n".join(r[0] for r in spark.read.text(f"{folder}/{n}").collect())) if n else {}
+
+
+def publish(spark: SparkSession, folder: str, n: int, state: dict) -> None:
+    """Make ``state`` generation ``n`` with one rename: readers see it whole or not at all. One writer at a time; a second
+    one that wants the same generation gets an error and changes nothing.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    tmp, final = path(f"{folder}/.{uuid.uuid4().hex}.tmp"), path(f"{folder}/{n}")
+    fs = tmp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(tmp, False)
+    out.write(bytearray(json.dumps(state).encode()))
+    out.close()
+    if fs.exists(final) or not fs.rename(tmp, final):
+        fs.delete(tmp, False)
+        raise RuntimeError(f"generation {n} was published by another writer")
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeloom.operators.staging import upsert
+from treeloom.runtime import publish, published, remove_path
 from treeloom.sources.catalog import SPECS, seed
 
 
@@ -23,25 +23,13 @@ class ParquetEngine:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _fs(self, path: str):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
-
     def _state(self, name: str) -> tuple[int, dict]:
         """(generation, {"parts": folders, "sorted": columns or null}): 0 where there is no table."""
-        fs, p = self._fs(f"{self.root}/{name}/manifests")
-        n = max((int(s.getPath().getName()) for s in fs.listStatus(p) if s.getPath().getName().isdigit()), default=0) if fs.exists(p) else 0
-        return n, json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.root}/{name}/manifests/{n}").collect())) if n else {"parts": [], "sorted": None}
+        n, state = published(self.spark, f"{self.root}/{name}/manifests")
+        return n, state or {"parts": [], "sorted": None}
 
     def _publish(self, name: str, n: int, parts: list[str], order: list[str] | None) -> None:
-        fs, tmp = self._fs(f"{self.root}/{name}/manifests/.{uuid.uuid4().hex}.tmp")
-        out = fs.create(tmp, False)
-        out.write(bytearray(json.dumps({"parts": parts, "sorted": order}).encode()))
-        out.close()
-        _, final = self._fs(f"{self.root}/{name}/manifests/{n}")
-        if fs.exists(final) or not fs.rename(tmp, final):
-            fs.delete(tmp, False)
-            raise RuntimeError(f"{name} was changed by another writer")
+        publish(self.spark, f"{self.root}/{name}/manifests", n, {"parts": parts, "sorted": order})
 
     def _write(self, name: str, df: DataFrame) -> str:
         part = f"{self.root}/{name}/data/{uuid.uuid4().hex}"
@@ -69,8 +57,7 @@ class ParquetEngine:
 
     def drop(self, names: list[str]) -> None:
         for n in names:
-            fs, p = self._fs(f"{self.root}/{n}")
-            fs.delete(p, True)
+            remove_path(self.spark, f"{self.root}/{n}")
 
     def insert(self, name: str, rows: DataFrame) -> None:
         """Add rows in a folder of their own; what is stored is not read."""
