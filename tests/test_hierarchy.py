@@ -3,6 +3,7 @@
 import random
 import sys
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,7 +136,7 @@ def test_all_nodes_below_with_cycles_and_several_parents(spark, every):
 def test_container_depths_have_no_bound(spark, monkeypatch):
     monkeypatch.setattr(browse, "range", lambda *a: iter(range(*a[:-1], min(a[-1], 3))), raising=False)  # a bound would end at 2 levels
     edges = spark.createDataFrame([(1, i, i + 1) for i in range(1, 5)], "g long, p long, c long")
-    assert {r["node"]: r["depth"] for r in browse.container_depths(edges, "g", "p", "c").collect()} == {i: i - 1 for i in range(1, 6)}
+    assert {r["node"]: r["depth"] for r in browse.container_depths(edges, "g", "p", "c", 1).collect()} == {i: i - 1 for i in range(1, 6)}
 
 
 def test_small_cases(spark):
@@ -145,6 +146,21 @@ def test_small_cases(spark):
 
 
 def test_star_with_hot_parent(spark, monkeypatch):
-    monkeypatch.setattr(hp, "hot_keys", lambda df, key, **kw: [1, 2])
+    monkeypatch.setattr(hp, "HOT_ROWS", 10)
     data = [(1, i, 100 + i) for i in range(50)] + [(2, 0, 1), (3, 5, 2)]
     assert got(spark.createDataFrame(data, SCHEMA)) == brute(data)
+
+
+def test_ladder_of_nodes_with_several_parents(spark, monkeypatch):
+    n = 100_000
+    ways = [(2 * i + s, max(m, 1), 1, "0", m % 2 == 0) for i in range(1, n) for s in (0, 1) for m in (2 * i - 2, 2 * i - 1)]
+    ways += [(v, m, 1, "0", True) for v, m in ((-5, -6), (-6, -5), (-7, -6), (-8, None), (-9, -8))]
+    ways = [(v, m, d, p if v < 4 or v % 9999 == 0 else "", c) for v, m, d, p, c in ways]  # short paths
+    batch = pa.RecordBatch.from_pydict({k: list(x) for k, x in zip("vpdqc", zip(*ways, strict=True), strict=True)})
+    got_ = {r["s"]: (r["root"], r["sd"], r["cyclic"]) for b in hp._solve(iter([batch])) for r in b.to_pylist()}
+    assert {v for v, x in got_.items() if x[2]} == {-5, -6, -7, -8, -9} and got_[2 * n - 1] == (1, n - 1, False) and len(got_) == 2 * n - 2 + 5
+    data = [(a, 0, b) for i in range(1, 12) for a in (2 * i - 1, 2 * i) for b in (2 * i + 1, 2 * i + 2)] + [(24, 0, 30), (30, 0, 31), (31, 0, 30), (3, 1, 31), (31, 2, 40), (2, 2, 40)]
+    want = brute(data)
+    for most in (hp.ONE_TASK, 0):
+        monkeypatch.setattr(hp, "ONE_TASK", most)
+        assert got(spark.createDataFrame(data, SCHEMA)) == want

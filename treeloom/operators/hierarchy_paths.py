@@ -1,12 +1,16 @@
 """Parent-child links to full hierarchies by list ranking over splitters.
 
-1. Splitters are chosen deterministically: every node whose id hashes to 0 modulo ``every``, and every node with more
+1. One aggregation leaves each child's link. Only nodes that are a parent take part in what follows; most nodes are
+   leaves and hang below one of these in the last step.
+2. Splitters are chosen deterministically: every parent whose id hashes to 0 modulo ``every``, and every node with more
    than one parent. Roots and splitters are terminals.
-2. Every other node walks up to its next terminal by pointer doubling, carrying link count and local path.
-3. The splitters alone form a reduced pointer graph, ``every`` times smaller, that is solved the same way up to roots and
-   to nodes with several parents; only here do full (long) paths take part in the rounds.
-4. Nodes with several parents are settled parents first.
-5. Paths of all nodes are expanded with one join: path of the next splitter plus local path.
+3. Every other parent walks up to its next terminal by pointer doubling, carrying link count and local path.
+4. The splitters alone form a reduced pointer graph, ``every`` times smaller; only here do full (long) paths take part.
+   Up to ``ONE_TASK`` of its links are solved by one task, from the roots down. A greater graph is solved in rounds, with
+   the same result: pointers of splitters with one parent are doubled first; of the nodes with several parents those
+   that lead to no cycle are found, and as each of these has one chosen parent then, pointers are doubled once more.
+5. Paths are expanded with two joins: path of the next splitter plus local path for the parents, path of the parent plus
+   the own link for all nodes.
 
 A walk that has made more steps than there are unsettled nodes (see :func:`_walk`) never ends: its node lies on or below
 a cycle that has no splitter. Cycles with splitters show up as walks without end in the reduced graph.
@@ -24,7 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeloom.runtime import dense_ids, forget, hot_keys, materialize, split_join
+from treeloom.runtime import broadcast_if_small, dense_ids, forget, hot_keys, materialize, split_join
+
+#: Pointers to one node from which on they are kept out of the shuffle of a round.
+HOT_ROWS = 500_000
+#: Links of the reduced graph up to which one task solves it.
+ONE_TASK = 500_000
 
 
 def _join_path(a: Column, b: Column) -> Column:
@@ -50,7 +59,7 @@ def _walk(pointers: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
         for s in settled:
             lookup = lookup.unionAll(s.withColumn("end2", F.lit(True)))
         lookup = lookup.select(F.col("v").alias("v2"), F.col("p").alias("p2"), F.col("d").alias("d2"), F.col("path").alias("path2"), "end2")
-        met = split_join(active, lookup, "p", "v2", "left", hot_keys(active, "p", total=n))
+        met = split_join(active, lookup, "p", "v2", "left", hot_keys(active, "p", least=HOT_ROWS, total=n) if n >= HOT_ROWS else [])
         step = met.select(
             "v",
             F.coalesce("p2", "p").alias("p"),
@@ -294,6 +303,10 @@ def cycle_members(edges: DataFrame) -> DataFrame:
     return rings.unionByName(loops.join(rings.select("v"), "v", "left_anti").select("v", F.col("v").alias("c")))
 
 
+def _component(rank: Column, v: Column, trail: bool) -> Column:
+    return F.concat(F.coalesce(rank.cast("string"), F.lit("")), *([F.lit(":"), v.cast("string")] if trail else []))
+
+
 def hierarchy(df: DataFrame, parent: str, child: str, rank: str, every: int = 16, trail: bool = False) -> DataFrame:
     """(node_id, root_id, depth, path) of every node of the links in ``df``; see :func:`links` for dirty rows.
 
@@ -301,26 +314,38 @@ def hierarchy(df: DataFrame, parent: str, child: str, rank: str, every: int = 16
     parents, none of which leads to a cycle, hangs below the one with the smallest id. Repeated rows change nothing;
     an empty table gives no rows.
     """
-    edges = materialize(links(df, parent, child, rank, trail), "links")
-    kids = df.filter(F.col(child).isNotNull() & (F.col(child) != 0))
-    nodes = kids.select(F.col(child).alias("v")).unionAll(kids.filter(F.col(parent).isNotNull()).select(F.col(parent).alias("v"))).distinct()
+    rows = df.filter(F.col(child).isNotNull() & (F.col(child) != 0)).select(F.col(child).cast("long").alias("v"), F.col(parent).cast("long").alias("p"), F.col(rank).alias("rank"))
+    # Of a child with one parent that parent and the lowest rank; of others the smallest parent (their ranks come below).
+    ends = rows.groupBy("v").agg(F.min("p").alias("p"), F.max("p").alias("top"), F.min(F.when(F.col("p").isNotNull(), F.col("rank"))).alias("rank"))
+    kids = materialize(ends.select("v", "p", "rank", (F.col("top") != F.col("p")).alias("several")), "kids")
+    multi = kids.filter("several").select("v", F.col("p").alias("p0"))
+    n_multi = multi.count()
+    edges = None
+    if n_multi:
+        few = broadcast_if_small(multi.select("v"), n_multi)
+        edges = rows.filter("p is not null").join(few, "v", "left_semi").groupBy("v", "p").agg(F.min("rank").alias("rank"))
+        edges = materialize(edges.select("v", "p", _component(F.col("rank"), F.col("v"), trail).alias("path")), "several")
+    single = kids.filter("p is not null and not several").select("v", "p", _component(F.col("rank"), F.col("v"), trail).alias("path"))
+
+    # Parents, how many point to them, and their own links.
+    over = single.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    if n_multi:
+        over = over.unionAll(edges.select("p", F.lit(0).cast("long"))).groupBy("p").agg(F.sum("n").alias("n"))
+    over = materialize(over, "parents")
+    stats = over.agg(F.count(F.lit(1)).alias("parents"), F.coalesce(F.sum("n"), F.lit(0)).alias("links")).first()
+    hot = [r[0] for r in over.filter(F.col("n") >= max(HOT_ROWS, stats["links"] // 200)).select("p").collect()]  # at most 200
+    inner = materialize(single.join(broadcast_if_small(over.select(F.col("p").alias("v")), stats["parents"]), "v", "left_semi"), "inner")
 
-    per_child = edges.groupBy("v").agg(F.count(F.lit(1)).alias("parents"), F.min("p").alias("p0"))
-    multi = materialize(per_child.filter("parents > 1").select("v", "p0"), "multi")
-    several = multi.count()
     is_splitter = F.pmod(F.xxhash64("v", F.lit(17)), F.lit(every)) == 0
-    single = edges.join(multi.select("v"), "v", "left_anti") if several else edges
-    one = F.lit(1).alias("d")
-    local, endless = _walk(single.filter(~is_splitter).select("v", "p", one, "path"), "walk")
+    local, endless = _walk(inner.filter(~is_splitter).select("v", "p", F.lit(1).alias("d"), "path"), "walk")
     lost = endless.select(F.col("v").alias("lost"))
 
     # The reduced graph: from each splitter, over each of its parents, to the next terminal. Stuck ones lead to null.
-    first = single.filter(is_splitter)
-    if several:
-        first = first.unionByName(edges.join(multi.select("v"), "v", "left_semi"))
+    first = inner.filter(is_splitter).select("v", "p", "path")
+    if n_multi:
+        first = first.unionByName(edges)
     first = first.select("v", F.col("p").alias("via"), "path")
     beyond = local.select(F.col("v").alias("w"), "p", "d", F.col("path").alias("up"))
-    hot = hot_keys(first, "via")
     step = split_join(first, beyond, "via", "w", "left", hot)
     step = split_join(step, lost, "via", "lost", "left", hot)
     reduced = materialize(
@@ -332,46 +357,121 @@ def hierarchy(df: DataFrame, parent: str, child: str, rank: str, every: int = 16
         ),
         "reduced",
     )
-    chain = reduced.join(multi.select("v"), "v", "left_anti") if several else reduced
+    if n_multi:
+        reduced = reduced.join(F.broadcast(multi) if n_multi <= ONE_TASK else multi, "v", "left").withColumn("chosen", F.col("p0").isNull() | (F.col("via") == F.col("p0"))).drop("p0")
+    else:
+        reduced = reduced.withColumn("chosen", F.lit(True))
+    # Splitters: (s, root, sd, up), or cyclic if on or below a cycle. Then all parents but roots, in the same form.
+    on_cycle = [F.lit(None).cast("long").alias("root"), F.lit(0).alias("sd"), F.lit("").alias("up"), F.lit(True).alias("cyclic")]
+    if reduced.count() <= ONE_TASK:
+        splitters = reduced.select("v", "p", "d", "path", "chosen").coalesce(1).mapInArrow(_solve, "s long, root long, sd int, up string, cyclic boolean")
+    else:
+        good, bad = _solve_in_rounds(reduced, multi, n_multi)
+        splitters = good.select(F.col("v").alias("s"), F.col("p").alias("root"), F.col("d").alias("sd"), F.col("path").alias("up"), F.lit(False).alias("cyclic"))
+        splitters = splitters.unionAll(bad.distinct().select(F.col("v").alias("s"), *on_cycle))
+    splitters = materialize(splitters, "splitters")
+    walked = local.join(splitters, F.col("p") == F.col("s"), "left").select(
+        F.col("v").alias("s"), F.when(F.col("cyclic"), F.lit(None)).otherwise(F.coalesce("root", "p")).alias("root"), (F.col("d") + F.coalesce("sd", F.lit(0))).alias("sd"),
+        F.when(F.col("s").isNull(), F.col("path")).otherwise(_join_path(F.col("up"), F.col("path"))).alias("up"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"),
+    )
+    parents = walked.unionAll(splitters).unionAll(endless.select(F.col("v").alias("s"), *on_cycle))
+    below = split_join(single, materialize(parents, "settled"), "p", "s", "left", hot)
+    cyclic = F.coalesce("cyclic", F.lit(False))
+
+    def node(v: Column, root: Column, depth: Column, path: Column, cyclic: Column) -> list[Column]:
+        return [
+            v.cast("long").alias("node_id"), F.when(cyclic, F.lit(-1)).otherwise(root).cast("long").alias("root_id"),
+            F.when(cyclic, F.lit(-1)).otherwise(depth).cast("int").alias("depth"), F.when(cyclic, F.lit("")).otherwise(path).alias("path"),
+        ]
+
+    hangs = below.select(*node(F.col("v"), F.coalesce("root", "p"), F.coalesce("sd", F.lit(0)) + 1, F.when(F.col("s").isNull(), F.col("path")).otherwise(_join_path(F.col("up"), F.col("path"))), cyclic))
+    # Roots are parents that are no child, and children without a parent.
+    linked = kids.filter("p is not null").select("v")
+    alone = kids.filter("p is null").select("v").join(over.select(F.col("p").alias("v")), "v", "left_anti")
+    roots = over.select(F.col("p").alias("v")).join(linked, "v", "left_anti").unionAll(alone)
+    out = hangs.unionAll(roots.select(*node(F.col("v"), F.col("v"), F.lit(0), F.lit(""), F.lit(False))))
+    if n_multi:
+        tops = splitters.join(multi.select(F.col("v").alias("s")), "s", "left_semi")
+        out = out.unionAll(tops.select(*node(F.col("s"), F.col("root"), F.col("sd"), F.col("up"), F.col("cyclic"))))
+    return out
+
+
+def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(s, root, sd, up, cyclic) of all nodes of a reduced graph, given its ways (v, p, d, path, chosen); p null leads nowhere.
+
+    From the roots down: a node is settled once all nodes its ways lead to are; it keeps its chosen way. What is left is
+    on or below a cycle.
+    """
+    chosen: dict[int, tuple[int, int, str]] = {}
+    open_ways: dict[int, int] = {}
+    ways: list[tuple[int, int | None]] = []
+    for b in batches:
+        for v, p, d, path, mine in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            ways.append((v, p))
+            open_ways[v] = 0
+            if mine:
+                chosen[v] = (p, d, path)
+    waits: dict[int, list[int]] = {}
+    for v, p in ways:
+        if p is None:
+            open_ways[v] += 1  # for ever
+        elif p in open_ways:
+            open_ways[v] += 1
+            waits.setdefault(p, []).append(v)
+    done: dict[int, tuple[int, int, str]] = {}
+    todo = [v for v, n in open_ways.items() if not n]
+    while todo:
+        v = todo.pop()
+        p, d, path = chosen[v]
+        if p in done:
+            root, above, up = done[p]
+            done[v] = (root, above + d, f"{up}.{path}" if up and path else up or path)
+        else:
+            done[v] = (p, d, path)
+        for w in waits.get(v, ()):
+            open_ways[w] -= 1
+            if not open_ways[w]:
+                todo.append(w)
+    every = list(open_ways)
+    for i in range(0, len(every), 10_000):
+        part = [(v, *done.get(v, (None, 0, "")), v not in done) for v in every[i : i + 10_000]]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.bool_()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), types, strict=True)], names=["s", "root", "sd", "up", "cyclic"])
+
+
+def _solve_in_rounds(reduced: DataFrame, multi: DataFrame, n_multi: int) -> tuple[DataFrame, DataFrame]:
+    """(v, p = root, d, path) of the good splitters and (v) of those on or below a cycle, for a graph of any size."""
+    chain = reduced.join(multi.select("v"), "v", "left_anti") if n_multi else reduced
     solved, no_end = _walk(chain.filter("p is not null").select("v", "p", "d", "path"), "reduced-walk")
     # A chain that ends at a splitter whose own way is stuck ends nowhere.
     stuck = chain.filter("p is null").select("v")
     bad = no_end.unionAll(stuck).unionAll(solved.join(stuck.select(F.col("v").alias("p")), "p", "left_semi").select("v"))
     good = solved.join(stuck.select(F.col("v").alias("p")), "p", "left_anti").select("v", "p", "d", "path")
-    if several:
-        good, bad = _settle_multi(reduced, multi, good, bad)
+    return _settle_multi(reduced, multi, good, bad) if n_multi else (good, bad)
 
-    # good: (v, p = root, d, path) of splitters; bad: splitters on or below a cycle.
-    splitters = good.select(F.col("v").alias("s"), F.col("p").alias("root"), F.col("d").alias("sd"), F.col("path").alias("up"), F.lit(False).alias("cyclic"))
-    splitters = splitters.unionByName(bad.distinct().select(F.col("v").alias("s"), F.lit(None).cast("long").alias("root"), F.lit(0).alias("sd"), F.lit("").alias("up"), F.lit(True).alias("cyclic")))
-    splitters = materialize(splitters, "splitters")
-    walked = split_join(local, splitters, "p", "s", "left", hot_keys(local, "p"))
-    cyclic = F.coalesce("cyclic", F.lit(False))
-    inner = walked.select(
-        F.col("v").alias("node_id"),
-        F.when(cyclic, F.lit(-1)).otherwise(F.coalesce("root", "p")).cast("long").alias("root_id"),
-        F.when(cyclic, F.lit(-1)).otherwise(F.col("d") + F.coalesce("sd", F.lit(0))).cast("int").alias("depth"),
-        F.when(cyclic, F.lit("")).otherwise(F.when(F.col("s").isNull(), F.col("path")).otherwise(_join_path(F.col("up"), F.col("path")))).alias("path"),
-    )
-    tops = splitters.select(
-        F.col("s").alias("node_id"),
-        F.when(F.col("cyclic"), F.lit(-1)).otherwise(F.col("root")).cast("long").alias("root_id"),
-        F.when(F.col("cyclic"), F.lit(-1)).otherwise(F.col("sd")).cast("int").alias("depth"),
-        F.col("up").alias("path"),
-    )
-    below = endless.select(F.col("v").alias("node_id"), F.lit(-1).cast("long").alias("root_id"), F.lit(-1).cast("int").alias("depth"), F.lit("").alias("path"))
-    roots = nodes.join(edges.select("v"), "v", "left_anti").select(F.col("v").cast("long").alias("node_id"), F.col("v").cast("long").alias("root_id"), F.lit(0).cast("int").alias("depth"), F.lit("").alias("path"))
-    return inner.unionAll(tops).unionAll(below).unionAll(roots)
+
+def _peel_rounds(ways: DataFrame) -> DataFrame:
+    """(v) of the nodes none of whose ways (v, m) leads to a cycle; m 0: to a root, null: nowhere. One round for each of
+    the most such nodes above one another.
+    """
+    good = ways.limit(0).select("v")
+    while True:
+        g = good.select(F.col("v").alias("m"), F.lit(True).alias("settled"))
+        free = F.col("m").isNotNull() & ((F.col("m") == 0) | F.coalesce("settled", F.lit(False)))
+        met = ways.join(g, "m", "left").groupBy("v").agg(F.min(free).alias("free")).filter("free").select("v")
+        new = materialize(met.join(good, "v", "left_anti"), "peeled")
+        if new.isEmpty():
+            return good
+        good = good.unionAll(new)
 
 
 def _settle_multi(reduced: DataFrame, multi: DataFrame, good: DataFrame, bad: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Settle nodes with several parents, parents first.
+    """Settle nodes with several parents: (v, root, d, path) of all good splitters, and the bad ones.
 
-    In each round a node is settled when all its ways up lead to roots or to settled nodes; its root, depth and path
-    are those over its smallest parent. What can't be settled leads to a cycle. Rounds: the most such nodes above one
-    another.
+    A node is good if all its ways up lead to roots or to good nodes; what is left leads to a cycle. Each good node then
+    keeps the way over its smallest parent, so their root, depth and path come from doubling pointers.
     """
-    ways = reduced.join(multi, "v").select("v", "via", "p", "d", "path", (F.col("via") == F.col("p0")).alias("chosen"))
+    ways = reduced.join(multi.select("v"), "v", "left_semi").select("v", "via", "p", "d", "path", "chosen")
     # One way: to the end of its chain. p: a root, or a node with several parents.
     g = good.select(F.col("v").alias("w"), F.col("p").alias("gp"), F.col("d").alias("gd"), F.col("path").alias("gpath"))
     b = bad.distinct().select(F.col("v").alias("bw"))
@@ -383,23 +483,9 @@ def _settle_multi(reduced: DataFrame, multi: DataFrame, good: DataFrame, bad: Da
         F.when(F.col("w").isNull(), F.col("path")).otherwise(_join_path(F.col("gpath"), F.col("path"))).alias("path"),
     )
     ways = materialize(ways.join(multi.select(F.col("v").alias("m")), F.col("p") == F.col("m"), "left"), "ways")
-    settled = ways.limit(0).select("v", "p", "d", "path")
-    open_ = multi.select("v")
-    while True:
-        s = settled.select(F.col("v").alias("sv"), F.col("p").alias("sp"), F.col("d").alias("sd"), F.col("path").alias("spath"))
-        met = ways.join(open_, "v", "left_semi").join(s, F.col("m") == F.col("sv"), "left")
-        free = F.col("p").isNotNull() & (F.col("m").isNull() | F.col("sv").isNotNull())
-        at = F.struct(
-            F.coalesce("sp", "p").alias("p"),
-            (F.col("d") + F.coalesce("sd", F.lit(0))).alias("d"),
-            F.when(F.col("sv").isNull(), F.col("path")).otherwise(_join_path(F.col("spath"), F.col("path"))).alias("path"),
-        )
-        new = met.groupBy("v").agg(F.min(free).alias("free"), F.max(F.when(F.col("chosen"), at)).alias("at")).filter("free").select("v", "at.p", "at.d", "at.path")
-        new = materialize(new, "settled")
-        if new.isEmpty():
-            break
-        settled = settled.unionAll(new)
-        open_ = multi.select("v").join(settled.select("v"), "v", "left_anti")
+    short = ways.select("v", F.when(F.col("p").isNotNull(), F.coalesce("m", F.lit(0))).alias("m")).distinct()
+    fine = materialize(_peel_rounds(materialize(short, "ways")), "good-several")
+    settled, _ = _walk(ways.filter("chosen").join(fine, "v", "left_semi").select("v", "p", "d", "path"), "several-walk")
     # Chains that end at a settled node go on to its root; chains that end at an unsettled one lead to a cycle.
     s = settled.select(F.col("v").alias("sv"), F.col("p").alias("sp"), F.col("d").alias("sd"), F.col("path").alias("spath"))
     g = good.join(multi.select(F.col("v").alias("m")), F.col("p") == F.col("m"), "left").join(s, F.col("p") == F.col("sv"), "left")
@@ -408,4 +494,5 @@ def _settle_multi(reduced: DataFrame, multi: DataFrame, good: DataFrame, bad: Da
         "v", F.coalesce("sp", "p").alias("p"), (F.col("d") + F.coalesce("sd", F.lit(0))).alias("d"),
         F.when(F.col("sv").isNull(), F.col("path")).otherwise(_join_path(F.col("spath"), F.col("path"))).alias("path"),
     )
+    open_ = multi.select("v").join(fine, "v", "left_anti")
     return materialize(done.unionAll(settled), "good"), materialize(bad.unionAll(still).unionAll(open_).distinct(), "bad")
