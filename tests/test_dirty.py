@@ -15,6 +15,8 @@ def test_dealt_queries(spark, tmp_path, how):
     for name, f in general.QUERIES.items():
         df = f(spark, d)
         got = sorted(map(repr, (tuple(r) for r in df.collect())))
+        if name not in general.SQL:
+            continue
         cols = ", ".join(f'"{c}"' for c in df.columns)
         want = sorted(map(repr, con.execute(f"select {cols} from ({general.SQL[name]})").fetchall()))
         assert got == want, (name, how, got[:5], want[:5])
